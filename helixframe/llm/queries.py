@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_back, unescaped
+from .html_text import extract_text
+from .pieces import encode_texts, ids_digest
 from .sharding import assign_shards, tree
 from .shared import table
+from .token_counts import count_tokens
 from .urls import filter_urls
 
+MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 URL_RULES = """
 SELECT * FROM VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
   ('block', 'net', '/es/'), ('block', 'net', '/fr/') AS rules(action, host, path)
@@ -25,6 +32,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", MODEL_PATH)
+    tiled = (F.element_at("begins", 1) == 0) & (F.element_at("ends", -1) == F.octet_length(F.coalesce("text", F.lit(""))))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), tiled.alias("spans_cover_text"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", MODEL_PATH).select("doc_id", "n_tokens", "n_pretokens")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     chats = format_chats(given.union(spark.sql(PLANTED_CHAT)))
@@ -34,6 +51,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("lossy").cast("long").alias("loss_chars"), F.sha2("lossy", 256).alias("loss_sha256"), "formatted_chars", "valid")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -43,7 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_pieces": op3_pieces,
+    "op4_token_counts": op4_token_counts,
     "op5_chat_format": op5_chat_format,
+    "op6_html_text": op6_html_text,
     "op10_sharding": op10_sharding,
 }
 

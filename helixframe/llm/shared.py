@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,7 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1 << 20, r
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         start = held = 0
-        for i, size in enumerate(pa.compute.binary_length(column).to_pylist()):
+        for i, size in enumerate(pc.binary_length(column).to_pylist()):
             if i > start and (held + (size or 0) > chars or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
