@@ -14,6 +14,7 @@ from .sharding import assign_shards, tree
 from .shared import table
 from .token_counts import count_tokens
 from .urls import filter_urls
+from .vectors import near_vectors
 
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -55,6 +56,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_chat_format": op5_chat_format,
     "op6_html_text": op6_html_text,
+    "op7_near_vectors": op7_near_vectors,
     "op10_sharding": op10_sharding,
 }
 
