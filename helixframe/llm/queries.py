@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_back, unescaped
+from .decontamination import find_passages
 from .html_text import extract_text
 from .pieces import encode_texts, ids_digest
+from .quality import fit_quality, score_quality
 from .sharding import assign_shards, tree
 from .shared import table
 from .token_counts import count_tokens
@@ -33,6 +35,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, keep=["doc_id"])
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", MODEL_PATH)
     tiled = (F.element_at("begins", 1) == 0) & (F.element_at("ends", -1) == F.octet_length(F.coalesce("text", F.lit(""))))
@@ -60,6 +68,13 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_passages(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text", keep=["doc_id"])
+    hit = found.select("doc_id", F.explode("hits").alias("h"))
+    return hit.select("doc_id", F.col("h.item").alias("item_id"), F.col("h.begin").alias("begin"), F.col("h.end").alias("end"), F.col("h.edits").alias("edits"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -69,11 +84,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_quality": op2_quality,
     "op3_pieces": op3_pieces,
     "op4_token_counts": op4_token_counts,
     "op5_chat_format": op5_chat_format,
     "op6_html_text": op6_html_text,
     "op7_near_vectors": op7_near_vectors,
+    "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }
 
