@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_back, unescaped
 from .decontamination import find_passages
 from .html_text import extract_text
+from .near_texts import near_duplicates
 from .pieces import encode_texts, ids_digest
 from .quality import fit_quality, score_quality
 from .sharding import assign_shards, tree
@@ -75,6 +76,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("doc_id", F.col("h.item").alias("item_id"), F.col("h.begin").alias("begin"), F.col("h.end").alias("end"), F.col("h.edits").alias("edits"))
 
 
+def op9_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, "doc_id", "text").select("doc_id", "class_id", "kept", "copies")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -91,6 +97,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_near_vectors": op7_near_vectors,
     "op8_decontamination": op8_decontamination,
+    "op9_near_texts": op9_near_texts,
     "op10_sharding": op10_sharding,
 }
 
