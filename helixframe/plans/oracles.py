@@ -119,4 +119,13 @@ ORACLES = {
         coalesce(TRY_CAST(nullif(regexp_extract(id, ' multi=(\\S+)', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(id, ' cov=(\\S+)', 1), '') AS DOUBLE), 0.0) AS coverage, left(regexp_replace(id, '[^A-Za-z0-9]', '_', 'g'), 80) AS safe FROM h""".replace("\\\\", "\\"),
     "dinuc_shuffle_invariants": f"""WITH {CONTIGS}, d AS (SELECT contig_id, kmer, count(*) AS n FROM ({_kmers('contigs', 2, 'contig_id')}) GROUP BY ALL)
       SELECT contig_id, md5(string_agg(kmer || n, ',' ORDER BY kmer)) AS dinucleotides FROM d GROUP BY contig_id""",
+    "candidate_triage": f"""WITH {PLANTED}, {CIRCULAR}, {REFERENCE}, rk AS (SELECT DISTINCT kmer FROM ({_kmers(f"(SELECT seq FROM reference UNION ALL SELECT {_rc('seq')} FROM reference)", 21, '1 AS one')})),
+      h AS (SELECT contig_id, count(*) AS n_kmers, count(rk.kmer) AS hits FROM ({_kmers('planted', 21, 'contig_id')}) LEFT JOIN rk USING (kmer) GROUP BY contig_id)
+      SELECT contig_id, CASE WHEN coalesce(n_kmers, 0) > 0 AND hits * 10 >= n_kmers THEN 'known' WHEN unit IS NULL THEN 'not circular' WHEN unit NOT BETWEEN 150 AND 2500 THEN 'size' ELSE 'candidate' END AS verdict
+      FROM units LEFT JOIN h USING (contig_id)""",
+    "blast_report_hits": """WITH i AS (SELECT l_suppkey, l_partkey, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
+      r AS (SELECT l_suppkey, 'AC' || lpad(l_partkey::VARCHAR, 9, '0') AS accession, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS description, q AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS rank FROM i JOIN part ON p_partkey = l_partkey)
+      SELECT l_suppkey, rank, accession, description, score, 97::BIGINT AS identity FROM r WHERE rank <= 10""",
+    "event_windows_stream": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "read_prefix_stream": f"SELECT role, substr(seq, 1, 20) AS prefix, count(*) AS n FROM (SELECT role, {_mapped('text')} AS seq FROM conversations) WHERE length(seq) >= 20 GROUP BY ALL",
 }

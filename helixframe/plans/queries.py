@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gc_content, header_coverage, header_length, kmers, leading_token, revcomp, safe_id
-from ..operators import circularity, coding, nullmodel, quality, ranking
+from ..operators import circularity, cluster, coding, fold, graph, nullmodel, quality, ranking
 from ..operators import kmers as kmer_ops
-from .views import adapter_contigs, contigs, planted, reads, reference, table
+from ..sources import read_blast_report
+from ..streaming import drain, prefix_profile_stream, tumbling_counts
+from . import pipelines
+from .views import adapter_contigs, contigs, mapped, planted, reads, reference, table
 
 
 def scaled(value: Column, digits: int) -> Column:
@@ -164,12 +167,74 @@ def dinuc_shuffle_invariants(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("contig_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat("kmer", F.col("n").cast("string")))), ",")).alias("dinucleotides"))
 
 
+def candidate_triage(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.triage(planted(spark, d), _reference(spark, d))
+
+
+def _circles(spark: SparkSession, d: str) -> DataFrame:
+    """``(id, seq)``: each reference sequence, its opposite strand from the middle on, and itself turned by a third."""
+    turned = lambda s, share: F.concat(F.substring(s, F.floor(F.length(s) * share).cast("int") + 1, F.length(s)), F.substring(s, F.lit(1), F.floor(F.length(s) * share).cast("int")))
+    kinds = F.array(*(F.struct(F.lit(i).alias("i"), s.alias("s")) for i, s in enumerate((F.col("seq"), turned(revcomp("seq"), 0.5), turned(F.col("seq"), 1 / 3)))))
+    return reference(spark, d).select("item_id", F.explode(kinds).alias("x")).select((F.col("item_id") * 4 + F.col("x.i")).alias("id"), F.col("x.s").alias("seq"))
+
+
+def circular_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.circular_clusters(_circles(spark, d), "id", "seq")
+
+
+def structure_zscore(spark: SparkSession, d: str) -> DataFrame:
+    rows = reference(spark, d).repartition(spark.sparkContext.defaultParallelism, "item_id")
+    out = fold.structure_stability(rows, "seq", F.xxhash64(F.lit(42), "item_id"), 10)
+    return out.select("item_id", "backend", *(F.round(c, 6).alias(c) for c in ("energy", "null_mean", "null_std", "structure_z")))
+
+
+def rod_profile(spark: SparkSession, d: str) -> DataFrame:
+    rows = reference(spark, d).repartition(spark.sparkContext.defaultParallelism, "item_id")
+    out = fold.rod_profile(fold.structure_stability(rows, "seq", F.lit(0), 0), "seq")
+    return out.select("item_id", "backend", "structure", F.round("mfe_per_nt", 6).alias("mfe_per_nt"), F.round("paired_fraction", 6).alias("paired_fraction"), "longest_helix", F.round("complexity", 6).alias("complexity"), "is_rodlike")
+
+
+def unitig_assembly(spark: SparkSession, d: str) -> DataFrame:
+    out = graph.assemble(reads(spark, d), 21, 5, 60, ["lang"])
+    return out.select("lang", "id", F.md5("seq").alias("seq_md5"), F.length("seq").alias("n"), F.round("coverage", 6).alias("coverage"), "is_cycle")
+
+
+def signature_sweep(spark: SparkSession, d: str) -> DataFrame:
+    out = pipelines.sweep(_circles(spark, d), "id", "seq", 10)
+    return out.select("rep", "cluster_id", "members", "has_sas", "is_circular", "longest_orf_nt", F.round("orphan_score", 6).alias("orphan_score"), F.round("structure_z", 6).alias("structure_z"), F.round("combined_score", 6).alias("combined_score"), F.round("q_value", 6).alias("q_value"), "reject")
+
+
+def blast_report_hits(spark: SparkSession, d: str) -> DataFrame:
+    """One report for each supplier: its parts by quantity as a description table."""
+    items = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("q")).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    line = F.concat(F.lit("AC"), F.lpad(F.col("l_partkey").cast("string"), 9, "0"), F.lit("  "), "p_name", F.lit("  "), F.col("q").cast("string"), F.lit("  1e-30  97%"))
+    lines = items.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("lines"))
+    head, tail = F.lit("Query report\nSequences producing significant alignments:  Score  E  Ident\n\n"), F.lit("\nALIGNMENTS\n>AC other 1 2\n")
+    hits = read_blast_report(lines.select("l_suppkey", F.concat(head, "lines", tail).alias("report")), "l_suppkey", "report")
+    return hits.select("l_suppkey", F.col("rank").cast("long").alias("rank"), "accession", "description", F.col("score").cast("long").alias("score"), F.col("identity").cast("long").alias("identity"))
+
+
+def event_windows_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = drain(tumbling_counts(events, "ts", ["event_type"], "1 day"))
+    return out.select(F.unix_timestamp("start").alias("start_s"), "event_type", "n")
+
+
+def read_prefix_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "conversations").schema
+    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    return drain(prefix_profile_stream(turns.select("role", mapped("text").alias("seq")), ["role"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         seq_revcomp_gc, length_band_filter, qc_drop_reasons, prefix_profile_by_lang, kmer_count_min, kmer_complexity, circularity_exact,
         circularity_mismatch1, concatemer_resolve, reference_kmer_screen, ncrna_anti_join, sas_pairs, orf_islands, orf_longest, codon_chisq,
         orphan_score, bh_fdr, n50_by_source, debruijn_degree, kmer_mean_coverage, confusion_fdr_power, roc_auc, average_precision,
-        decoy_breakdown, library_verdict, header_parse, dinuc_shuffle_invariants,
+        decoy_breakdown, library_verdict, header_parse, dinuc_shuffle_invariants, candidate_triage, circular_cluster, structure_zscore,
+        rod_profile, unitig_assembly, signature_sweep, blast_report_hits, event_windows_stream, read_prefix_stream,
     )
 }
