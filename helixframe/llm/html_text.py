@@ -35,6 +35,8 @@ MARKED = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination paging popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search".split())
+#: Share of link characters from which a part with several links is a list of links.
+LINKED = 0.6
 WORDS = re.compile(r"[a-z]+")
 CUT_TAG = re.compile(r"<[A-Za-z/!?]")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -176,13 +178,20 @@ def _content(root: Node) -> set[int]:
         threshold = min(threshold, node.density)
         outer = node if node.main else outer
         node = node.parent
-    chosen = {id(outer or best)}
-    if outer is None:
-        # Whatever in the body is as dense as the path adds its own highest-sum subtree or, if a leaf, itself.
-        for node in _below(root):
-            if node.density >= threshold and node is not root:
-                top = max(_below(node), key=lambda x: x.total)
-                chosen.add(id(top if top.total > 0 else node))
+    if outer is not None:
+        return {id(outer)}
+    # No element names the content: lists of links go, and the subtree grows over what is left around it.
+    for node in _below(root):
+        if node.link_tags >= 2 and node.link_chars >= LINKED * node.chars and node is not best:
+            node.dropped = True
+    while best.parent not in (None, root) and best.parent.link_chars < LINKED * best.parent.chars:
+        best = best.parent
+    chosen = {id(best)}
+    # Whatever in the body is as dense as the path adds its own highest-sum subtree or, if a leaf, itself.
+    for node in _below(root):
+        if node.density >= threshold and node is not root:
+            top = max(_below(node), key=lambda x: x.total)
+            chosen.add(id(top if top.total > 0 else node))
     return chosen
 
 

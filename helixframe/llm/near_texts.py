@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, links_in_groups, spanning_links
-from .shared import saved, slices
+from .shared import free_name, saved, slices
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
@@ -268,12 +268,16 @@ def without_near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     The row with the smallest key stays; of several rows with that key one of those with the smallest
     text digest does. Texts without words go only if they repeat.
     """
-    found = saved(near_duplicates(docs, key, text).select(F.col(key).alias("_key"), "_cls", "_component", "kept", "copies"))
-    first = found.where("kept").groupBy("_component").agg(F.min("_cls").alias("_first"))
-    marked = saved(found.join(first, "_component").withColumn("kept", F.col("kept") & (F.col("_cls") == F.col("_first"))).where("not kept or copies > 1").select("_key", "_cls", "kept"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))) == F.col("_cls"))
+    own, cls = free_name(docs, "_key"), free_name(docs, "_cls")
+    found = near_duplicates(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", "t")
+    found = saved(found.select(F.col("k").alias(own), F.col("_cls").alias(cls), "_component", "kept", "copies"))
+    first = found.where("kept").groupBy("_component").agg(F.min(cls).alias("_first"))
+    marked = found.join(first, "_component").withColumn("kept", F.col("kept") & (F.col(cls) == F.col("_first"))).where("not kept or copies > 1")
+    gone = free_name(docs, "_gone")
+    marked = saved(marked.select(own, cls, (~F.col("kept")).alias(gone)))
+    same = F.col(key).eqNullSafe(F.col(own)) & (F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))) == F.col(cls))
     out = docs.join(marked, same, "left_anti")
-    repeated = marked.where("kept")
+    repeated = marked.where(~F.col(gone))
     if repeated.isEmpty():
         return out
-    return out.union(docs.join(repeated, same).dropDuplicates(["_key", "_cls"]).select(*docs.columns))
+    return out.union(docs.join(repeated, same).dropDuplicates([own, cls]).select(*docs.columns))
