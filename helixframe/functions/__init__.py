@@ -1,3 +1,21 @@
-"""Column builders over nucleotide strings, headers and folds."""
+"""Column builders over nucleotide strings, headers and folds, and their SQL names."""
+
+from pyspark.sql import SparkSession
 
 from .sequences import *  # noqa: F403
+
+#: SQL functions of the session: name, parameters, type and body.
+SQL_FUNCTIONS = {
+    "revcomp": ("s STRING", "STRING", "reverse(translate(s, 'ACGTUacgtuNn', 'TGCAAtgcaaNn'))"),
+    "to_rna": ("s STRING", "STRING", "translate(upper(s), 'T', 'U')"),
+    "to_dna": ("s STRING", "STRING", "translate(upper(s), 'U', 'T')"),
+    "gc_content": ("s STRING", "DOUBLE", "CASE WHEN length(s) = 0 THEN 0D ELSE length(regexp_replace(upper(s), '[^GC]', '')) / length(s) END"),
+    "kmers": ("s STRING, k INT", "ARRAY<STRING>", "regexp_extract_all(s, concat('(?s)(?=(.{', k, '}))'), 1)"),
+    "circular_unit": ("s STRING, k INT", "INT", "CASE WHEN length(s) >= 2 * k THEN nullif(greatest(instr(reverse(left(s, length(s) - 1)), reverse(right(s, k))), k - 1), k - 1) END"),
+}
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes the functions above known to ``spark.sql`` in this session."""
+    for name, (parameters, kind, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
