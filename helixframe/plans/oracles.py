@@ -115,7 +115,7 @@ ORACLES = {
         CASE WHEN so IN ('GENOMIC', 'METAGENOMIC', 'GENOMIC SINGLE CELL') THEN 'DNA source' WHEN so <> '' AND so NOT IN ('TRANSCRIPTOMIC', 'METATRANSCRIPTOMIC', 'TRANSCRIPTOMIC SINGLE CELL') THEN 'not an RNA source' END], lambda x: x IS NOT NULL) AS reasons FROM u)
       SELECT event_id, len(reasons) = 0 AS compatible, unknown, array_to_string(reasons, '; ') AS reasons, CASE WHEN sized THEN 'size-selected' ELSE '' END AS warnings FROM r""",
     "header_parse": """WITH h AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'NODE_' || c_custkey || '_length_' || (c_custkey * 7) || '_cov_3.5_g1_i0 rest' WHEN 1 THEN 'contig_' || c_custkey || ' flag=1 multi=' || c_nationkey || '.25 len=' || c_custkey ELSE c_name || ' cov=' || c_nationkey || '.5 multi=none' END AS id FROM customer)
-      SELECT c_custkey, split_part(id, ' ', 1) AS name, TRY_CAST(nullif(regexp_extract(id, '_length_(\\d+)_', 1), '') AS INT) AS spades_length,
+      SELECT c_custkey, split_part(id, ' ', 1) AS name, coalesce(TRY_CAST(nullif(regexp_extract(id, '_length_(\\d+)_', 1), '') AS INT), -1) AS spades_length,
         coalesce(TRY_CAST(nullif(regexp_extract(id, ' multi=(\\S+)', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(id, ' cov=(\\S+)', 1), '') AS DOUBLE), 0.0) AS coverage, left(regexp_replace(id, '[^A-Za-z0-9]', '_', 'g'), 80) AS safe FROM h""".replace("\\\\", "\\"),
     "dinuc_shuffle_invariants": f"""WITH {CONTIGS}, d AS (SELECT contig_id, kmer, count(*) AS n FROM ({_kmers('contigs', 2, 'contig_id')}) GROUP BY ALL)
       SELECT contig_id, md5(string_agg(kmer || n, ',' ORDER BY kmer)) AS dinucleotides FROM d GROUP BY contig_id""",

@@ -158,7 +158,7 @@ def header_parse(spark: SparkSession, d: str) -> DataFrame:
     plain = F.concat("c_name", F.lit(" cov="), nation, F.lit(".5 multi=none"))
     which = F.pmod("c_custkey", F.lit(3))
     h = table(spark, d, "customer").select("c_custkey", F.when(which == 0, spades).when(which == 1, megahit).otherwise(plain).alias("id"))
-    return h.select("c_custkey", leading_token("id").alias("name"), header_length("id").alias("spades_length"), header_coverage("id").alias("coverage"), safe_id("id").alias("safe"))
+    return h.select("c_custkey", leading_token("id").alias("name"), F.coalesce(header_length("id"), F.lit(-1)).alias("spades_length"), header_coverage("id").alias("coverage"), safe_id("id").alias("safe"))
 
 
 def dinuc_shuffle_invariants(spark: SparkSession, d: str) -> DataFrame:
