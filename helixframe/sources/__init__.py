@@ -1,6 +1,7 @@
 """Readers and writers of sequence files and of the tables around them."""
 
 from .sequence_files import (  # noqa: F401
+    append_results,
     read_accessions,
     read_alignments,
     read_blast_report,
@@ -11,4 +12,5 @@ from .sequence_files import (  # noqa: F401
     register_sources,
     run_urls,
     write_fasta,
+    write_report,
 )

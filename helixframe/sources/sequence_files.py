@@ -39,6 +39,16 @@ def write_fasta(df: DataFrame, path: str, header: str = "id", seq: str = "seq",
     df.select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), body).alias("value")).write.text(path)
 
 
+def append_results(df: DataFrame, path: str, by: str = "accession") -> None:
+    """Adds result rows under their run's folder, so that finished runs stay when a later one fails."""
+    df.write.mode("append").partitionBy(by).parquet(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Report rows as JSON lines; null fields are written, so that every row has all keys."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
 class FastqSource(DataSource):
     """Sequences of FASTQ files, plain or gzip.
 
