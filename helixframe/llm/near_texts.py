@@ -31,7 +31,7 @@ COORDINATES = BANDS * ROWS
 AGREE = 0.64
 #: Rows compared at once, by signatures and by shingles.
 BLOCK, EXACT_BLOCK = 256, 128
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 MIX1, MIX2, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
@@ -129,7 +129,7 @@ def _signed(docs: DataFrame, text: str, weighted: bool) -> DataFrame:
     """Signature rows: the class of the text, its bands (64-bit keys) and one byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, chars=1 << 21):
+        for batch in slices(batches, text):
             sets = [shingles(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             at = [i for i, (s, _) in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
@@ -238,12 +238,13 @@ def near_duplicates(docs: DataFrame, key: str, text: str, weighted: bool = False
     classes = saved(signed.groupBy("cls").agg(F.min("_key").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
 
     banded = classes.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("cls").alias("id"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Saved, as are the smallest keys below: joins of a table with its own totals can then be split.
+    shared = saved(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = saved(banded.join(shared, "key").join(classes.select(F.col("cls").alias("id"), "sig"), "id").select("key", "n", "id", "sig"))
     clusters = saved(connected_components(links_in_groups(members, _agreeing, BLOCK)))
 
     # The texts of clusters once more, each class by one of its rows, as whole shingle sets.
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
+    sizes = saved(clusters.groupBy("component").agg(F.count("*").alias("n")))
     wanted = clusters.join(sizes, "component").join(classes.select(F.col("cls").alias("id"), "low"), "id")
     texts = given.join(wanted, (F.col("cls") == F.col("id")) & F.col("_key").eqNullSafe(F.col("low"))).select(F.col("component").alias("key"), "n", "id", "_text")
 
@@ -256,7 +257,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, weighted: bool = False
     linked = connected_components(links_in_groups(exact, _similar, EXACT_BLOCK))
 
     named = classes.select("cls", "low").join(linked, F.col("cls") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cls"))
-    lows = named.groupBy("component").agg(F.min("low").alias("class_id"))
+    named = saved(named.select("cls", "low", "component"))
+    lows = saved(named.groupBy("component").agg(F.min("low").alias("class_id")))
     known = named.join(lows, "component").select("cls", F.col("component").alias("_component"), "class_id")
     out = rows.join(known, "cls")
     return out.select(F.col("_key").alias(key), F.col("cls").alias("_cls"), "_component", "class_id", F.col("_key").eqNullSafe(F.col("class_id")).alias("kept"), "copies")
@@ -276,7 +278,8 @@ def without_near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     gone = free_name(docs, "_gone")
     marked = saved(marked.select(own, cls, (~F.col("kept")).alias(gone)))
     same = F.col(key).eqNullSafe(F.col(own)) & (F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))) == F.col(cls))
-    out = docs.join(marked, same, "left_anti")
+    # Always by a merge join: the texts are shuffled once at any size, and nothing that grows is broadcast.
+    out = docs.join(marked.hint("merge"), same, "left_anti")
     repeated = marked.where(~F.col(gone))
     if repeated.isEmpty():
         return out
