@@ -19,12 +19,11 @@ from .shared import dropped, saved, whole_groups
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(id, component)`` with component the smallest id reachable.
 
-    Alternates the large-star and small-star steps until the link table no longer changes. Nodes
+    Alternates the large-star and small-star steps until all links lead to the smallest id of their component. Nodes
     without a link to another node do not appear; loops and repeated rows are harmless.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
-    while mark[0]:
+    while not _are_stars(now):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -35,16 +34,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new = saved(small)
         dropped(now)
         dropped(large)
-        now, before, mark = new, mark, _mark(new)
-        if mark == before:
-            break
+        now = new
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.union(ends.select(F.col("component").alias("id"), "component").distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number of links and an order-free digest of them."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no smaller end is a larger end elsewhere and every larger end has one smaller end."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")).union(edges.select("b", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("id").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller"))
+    return roles.where("larger > 1 OR larger = 1 AND smaller = 1").agg(F.count("*")).first()[0] == 0
 
 
 def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
