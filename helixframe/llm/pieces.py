@@ -30,7 +30,7 @@ from .shared import free_name, slices
 
 MARK = "▁"
 #: Chunks that a task remembers at most between slices of its rows, and the longest that it remembers.
-REMEMBERED, LONGEST = 600_000, 256
+REMEMBERED, SHORT, LONGEST = 400_000, 32, 256
 NEVER = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -92,8 +92,19 @@ class PieceModel:
             raise ValueError("a piece has a space mark behind another character: texts do not fall into chunks")
         spec = proto.normalizer_spec
         self.map, self.dummy, self.squeeze = CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.chunk = re.compile(self._chunks())
+
+    def _chunks(self) -> str:
+        """A pattern of chunks: space marks with a run of letters or of other characters, if no piece mixes these."""
         lone = "" if any("\n" in p for p in self.ids) else "\n"
-        self.chunk = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + ("|\n+" if lone else ""))
+        tail = "|\n+" if lone else ""
+        letter = re.compile(r"[^\W\d_]")
+        unlike = lambda odd: [p for p in self.side_by_side if MARK not in p and len({bool(letter.match(c)) and c not in odd for c in p}) == 2]
+        odd = {c for p in unlike(()) for c in p if letter.match(c)}
+        if len(odd) > 20 or unlike(odd):
+            return f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+{tail}"
+        held = re.escape("".join(sorted(odd)))
+        return rf"{MARK}*[^\W\d_{held}]+|{MARK}*(?:[^\w{MARK}{lone}]|[\d_{held}])+|{MARK}+{tail}"
 
     def normalized(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its characters and its end, the source byte it begins at."""
@@ -212,6 +223,9 @@ class Encoder(dict):
         self.model = model
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) <= SHORT:
+            out = self[chunk] = self.model.encoded(chunk)
+            return out
         cut = [0, *(i for i, pair in enumerate(map("".join, pairwise(chunk)), 1) if pair not in self.model.side_by_side), len(chunk)]
         if len(cut) > 2:  # no merge crosses characters that no piece has side by side
             out = b"".join([self[chunk[i:j]] for i, j in pairwise(cut)])
