@@ -43,6 +43,28 @@ def test_hunt_gates_runs_before_reads(spark):
     assert [(r.accession, r.is_cycle, r.verdict) for r in got] == [("good", True, "candidate")]
 
 
+def test_signature_takes_either_axis_and_rods(spark):
+    arm = dna(90, 31)
+    rod, plain = arm + "GAAA" + opposite(arm) + "GAAA", dna(190, 32)
+    end = rod[:15] + ("A" if rod[15] != "A" else "C")
+    one_off = rod + "ACGTA" + end  # the 16 bases of overlap differ in one
+    lone, small = dna(400, 34), dna(100, 35)
+    known = dna(300, 36)
+    rows = [("r1", "rod", one_off), ("r1", "flat", plain + plain[:30]), ("r1", "line", lone), ("r1", "sense", known[:50] + plain), ("r1", "anti", opposite(known[:50] + plain)), ("r1", "small", small + small[:30])]
+    rows += [("r2", "other", opposite(lone))]
+    df = spark.createDataFrame(rows, "run string, contig_id string, seq string")
+    got = {r.contig_id: r for r in pipelines.signature(df, spark.createDataFrame([("A" * 21,)], "kmer string"), shuffles=2, by="run").collect()}
+    assert got["rod"].circular and got["rod"].unit_length == len(rod) + 5 and got["rod"].is_rodlike and got["rod"].shortlisted
+    assert got["flat"].verdict == "candidate" and not got["flat"].is_rodlike and not got["flat"].shortlisted
+    assert got["sense"].verdict == got["anti"].verdict == "candidate" and got["sense"].has_sas and not got["sense"].circular
+    assert got["small"].verdict == "size" and got["small"].structure_z is None
+    assert got["line"].verdict == got["other"].verdict == "not circular or paired" and not got["other"].has_sas
+    assert all(r.structure_z is not None and r.orphan_score is not None for r in got.values() if r.verdict == "candidate")
+    refs = spark.createDataFrame([(rod[i : i + 21],) for i in range(len(rod) - 20)], "kmer string")
+    again = {r.contig_id: r for r in pipelines.signature(df.where("contig_id = 'rod'"), refs, shuffles=2).collect()}
+    assert again["rod"].verdict == "known" and again["rod"].is_rodlike and not again["rod"].shortlisted
+
+
 def test_characterise(spark):
     unit = dna(40, 5) + "ATG" + "GCT" * 20 + "TAA" + dna(20, 8)
     got = pipelines.characterise(spark.createDataFrame([("x", unit + unit[:20])], "id string, seq string"), "id", "seq", 5).first()
