@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gc_content, header_coverage, header_length, kmers, leading_token, revcomp, safe_id
-from ..operators import circularity, cluster, coding, fold, graph, nullmodel, quality, ranking
+from ..operators import circularity, coding, fold, graph, nullmodel, quality, ranking
 from ..operators import kmers as kmer_ops
 from ..sources import read_blast_report
 from ..streaming import drain, prefix_profile_stream, tumbling_counts
@@ -171,27 +171,22 @@ def candidate_triage(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.triage(planted(spark, d), _reference(spark, d))
 
 
-def _circles(spark: SparkSession, d: str) -> DataFrame:
-    """``(id, seq)``: each reference sequence, its opposite strand from the middle on, and itself turned by a third."""
-    turned = lambda s, share: F.concat(F.substring(s, F.floor(F.length(s) * share).cast("int") + 1, F.length(s)), F.substring(s, F.lit(1), F.floor(F.length(s) * share).cast("int")))
-    kinds = F.array(*(F.struct(F.lit(i).alias("i"), s.alias("s")) for i, s in enumerate((F.col("seq"), turned(revcomp("seq"), 0.5), turned(F.col("seq"), 1 / 3)))))
-    return reference(spark, d).select("item_id", F.explode(kinds).alias("x")).select((F.col("item_id") * 4 + F.col("x.i")).alias("id"), F.col("x.s").alias("seq"))
+def circular_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.reproduce(planted(spark, d), "contig_id").select("contig_id", "cluster_id", "cluster_size")
 
 
-def circular_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.circular_clusters(_circles(spark, d), "id", "seq")
+def _banded(spark: SparkSession, d: str) -> DataFrame:
+    return contigs(spark, d).where(F.length("seq").between(10, 1000))
 
 
 def structure_zscore(spark: SparkSession, d: str) -> DataFrame:
-    rows = reference(spark, d).repartition(spark.sparkContext.defaultParallelism, "item_id")
-    out = fold.structure_stability(rows, "seq", F.xxhash64(F.lit(42), "item_id"), 10)
-    return out.select("item_id", "backend", *(F.round(c, 6).alias(c) for c in ("energy", "null_mean", "null_std", "structure_z")))
+    out = fold.structure_stability(_banded(spark, d), "seq", F.xxhash64(F.lit(42), "contig_id"))
+    return out.select("contig_id", "backend", *(F.round(c, 6).alias(c) for c in ("energy", "null_mean", "null_std", "structure_z")))
 
 
 def rod_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = reference(spark, d).repartition(spark.sparkContext.defaultParallelism, "item_id")
-    out = fold.rod_profile(fold.structure_stability(rows, "seq", F.lit(0), 0), "seq")
-    return out.select("item_id", "backend", "structure", F.round("mfe_per_nt", 6).alias("mfe_per_nt"), F.round("paired_fraction", 6).alias("paired_fraction"), "longest_helix", F.round("complexity", 6).alias("complexity"), "is_rodlike")
+    out = fold.rod_profile(fold.structure_stability(_banded(spark, d), "seq", F.lit(0), 0), "seq")
+    return out.select("contig_id", "backend", "structure", F.round("mfe_per_nt", 6).alias("mfe_per_nt"), F.round("paired_fraction", 6).alias("paired_fraction"), "longest_helix", F.round("complexity", 6).alias("complexity"), "is_rodlike")
 
 
 def unitig_assembly(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +195,7 @@ def unitig_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signature_sweep(spark: SparkSession, d: str) -> DataFrame:
-    out = pipelines.sweep(_circles(spark, d), "id", "seq", 10)
+    out = pipelines.sweep(planted(spark, d), "contig_id", "seq")
     return out.select("rep", "cluster_id", "members", "has_sas", "is_circular", "longest_orf_nt", F.round("orphan_score", 6).alias("orphan_score"), F.round("structure_z", 6).alias("structure_z"), F.round("combined_score", 6).alias("combined_score"), F.round("q_value", 6).alias("q_value"), "reject")
 
 
