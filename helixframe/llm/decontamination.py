@@ -8,6 +8,7 @@ that many shared q-grams are kept and verified by an alignment limited to their
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from .shared import free_name, slices
 
 Q = 8
-#: Edits allowed for each character of a passage, and the shortest passage that is searched.
+#: Edits allowed for each character of a passage, and the shortest passage that is searched with edits.
 RATE, LEAST = 0.1, 40
 #: Characters of passages in one block of the index (about 16 bytes of index each).
 PASS_CHARS = 4_000_000
@@ -183,6 +184,45 @@ class Passages:
         return int(cost[at]), int(start[at]), int(at + low + len(passage))
 
 
+class Short:
+    """Passages too short for shared q-grams, found exactly and between word boundaries.
+
+    Each is looked up by its longest word, at the places of that word in a text; one without any word
+    is searched as it stands.
+    """
+
+    WORD = re.compile(r"\w+")
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.by_word: dict[str, list[tuple[int, str, int]]] = {}
+        self.plain: list[tuple[int, str]] = []
+        for i, passage in items:
+            word = max(self.WORD.finditer(passage), key=lambda m: len(m[0]), default=None)
+            if word is None:
+                self.plain.append((i, passage))
+            else:
+                self.by_word.setdefault(word[0], []).append((i, passage, word.start()))
+
+    def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """For each folded text the (passage, begin, end, 0) found: the first place of each passage."""
+        out = []
+        for text in texts:
+            found = {(i, p): at for i, p in self.plain if (at := text.find(p)) >= 0}
+            for m in self.WORD.finditer(text) if self.by_word else ():
+                for i, passage, offset in self.by_word.get(m[0], ()):
+                    at = m.start() - offset
+                    if (i, passage) not in found and at >= 0 and text.startswith(passage, at) and self._apart(text, passage, at):
+                        found[i, passage] = at
+            out.append([(i, at, at + len(p), 0) for (i, p), at in sorted(found.items())])
+        return out
+
+    def _apart(self, text: str, passage: str, at: int) -> bool:
+        """Whether no word of the text runs on over either end of the passage."""
+        end, word = at + len(passage), self.WORD.match
+        before = at > 0 and word(passage[0]) and word(text[at - 1])
+        return not before and not (end < len(text) and word(passage[-1]) and word(text[end]))
+
+
 def find_passages(df: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, keep: list[str] | None = None) -> DataFrame:
     """Adds ``hits``: for each row the benchmark items found in its text, as (item, begin, end, edits).
 
@@ -190,8 +230,11 @@ def find_passages(df: DataFrame, text: str, benchmark: DataFrame, item: str, ite
     ``RATE`` edits for each of its characters; ``begin`` and ``end`` are character positions of its
     best place. Whole texts are searched.
 
-    Null and empty texts have no hits. Items that are null or shorter than ``LEAST`` characters are
-    not searched; items of equal text are all reported. Repeated rows are searched each. ``keep`` names
+    Items shorter than ``LEAST`` characters are found without edits (but for case and kind of white
+    space) and only between word boundaries, at their first place.
+
+    Null and empty texts have no hits. Items that are null or nothing but white space are not searched;
+    items of equal text are all reported. Repeated rows are searched each. ``keep`` names
     the input columns to return (default all); a clashing added name ends in an underscore.
 
     The benchmark is a stated query set: it is broadcast in blocks of ``PASS_CHARS`` characters, each
@@ -218,12 +261,22 @@ def find_passages(df: DataFrame, text: str, benchmark: DataFrame, item: str, ite
 HIT_TYPE = pa.list_(pa.struct([("item", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
 
-def _passes(benchmark: DataFrame, item: str, item_text: str) -> Iterator[Passages]:
+def _passes(benchmark: DataFrame, item: str, item_text: str) -> Iterator[Passages | Short]:
     """The benchmark in runs of at most ``PASS_CHARS`` characters (a longer item stands alone)."""
     ids: list[int] = []
     texts: list[str] = []
     held = 0
-    for row in benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.length("t") >= LEAST).distinct().toLocalIterator():
+    short: list[tuple[int, str]] = []
+    short_held = 0
+    for row in benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").distinct().toLocalIterator():
+        if len(row["t"]) < LEAST:
+            if passage := folded(row["t"].replace("\0", " ")).strip():
+                short.append((row["i"], passage))
+                short_held += len(passage)
+            if short_held > PASS_CHARS:
+                yield Short(short)
+                short, short_held = [], 0
+            continue
         if texts and held + len(row["t"]) > PASS_CHARS:
             yield Passages(ids, texts)
             ids, texts, held = [], [], 0
@@ -232,3 +285,5 @@ def _passes(benchmark: DataFrame, item: str, item_text: str) -> Iterator[Passage
         held += len(row["t"])
     if texts:
         yield Passages(ids, texts)
+    if short:
+        yield Short(short)

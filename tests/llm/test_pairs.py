@@ -208,3 +208,12 @@ def test_queries_read_whole_tables(spark, tmp_path):
     spark.createDataFrame([(1, rows[400 % len(rows)][1][:10]), (2, rows[20][1] + " tail " + text(9, 5))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert queries.op9_near_texts(spark, str(tmp_path)).count() == len(rows)
     assert set(queries.op8_decontamination(spark, str(tmp_path)).columns) == {"doc_id", "item_id", "begin", "end", "edits"}
+
+
+def test_short_benchmark_items_are_found_between_word_boundaries(spark):
+    items = [(1, "What is the capital of Peru?"), (2, "art"), (3, " ?! "), (4, "   "), (5, None), (6, "What is the capital of Peru?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(1, "Q: WHAT is the\ncapital of Peru? Lima"), (2, "a start and parts"), (3, "art"), (4, "so ?! and (art)"), (5, "What is the capital of Perus?"), (6, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: [tuple(h) for h in r.hits] for r in decontamination.find_passages(docs, "text", bench, "item_id", "text").collect()}
+    assert got == {1: [(1, 3, 31, 0), (6, 3, 31, 0)], 2: [], 3: [(2, 0, 3, 0)], 4: [(2, 11, 14, 0), (3, 3, 5, 0)], 5: [], 6: []}
