@@ -1,10 +1,13 @@
 """Main text of web pages by composite text density.
 
-A page becomes a light tree of elements. Parts that are boilerplate by their element, role, class or
-id are cut off. Each remaining node gets the composite text density: characters per tag, weighted by
-a logarithm that lowers it as links make up more of the text. The node whose children's densities
-sum highest is the content; the lowest density on its path up to the body is the threshold above
-which other parts of the body add their own highest-sum subtrees.
+A page becomes a light tree of elements. Parts that are no running text by their element or role are
+cut off. Each remaining node gets the composite text density: characters per tag, weighted by a
+logarithm that lowers it as links make up more of the text; below a class or id that speaks of
+boilerplate it counts a fifth. The node whose children's densities sum highest is the content. The
+lowest density on its path up to the body is the threshold: beside the path, parts of the body that
+reach it add their own highest-sum subtrees, and so do parts made of nothing but paragraphs. Where
+the path lies in an article or main element, the whole of that element belongs to it. Boilerplate by
+name stays out unless the chosen node lies in it.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ ENDS_P = BLOCKS - {"br", "body", "head", "html", "option", "title", "td", "th",
 #: An element of the key ends where one of its values starts.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select article section div body html main td th".split())
-#: Words in class or id (cut at anything but letters) that mark boilerplate.
+#: Elements that hold paragraphs, headings and the like.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: What densities count below a class or id that holds one of these words (cut at anything but letters).
+MARKED_WEIGHT = 0.2
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination paging popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
@@ -43,11 +49,12 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "main", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "marked", "main", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, main: bool = False):
-        self.tag, self.parent, self.dropped, self.main = tag, parent, dropped, main
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False):
+        self.tag, self.parent, self.dropped, self.marked, self.main = tag, parent, dropped, marked, tag in ("article", "main")
         self.items: list[Node | str] = []
+        self.weight = 1.0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -74,15 +81,12 @@ class TreeBuilder(HTMLParser):
             for other in SIBLINGS[tag]:
                 self._close(other, SCOPES)
         inside = self._inside_main()
-        main = tag in ("article", "main")
-        dropped = tag in DROPPED or tag == "header" and not inside
-        if attrs and not dropped and tag not in ("html", "body", "article", "main"):
-            dropped = self._marked(dict(attrs), inside)
-        elif attrs and tag == "article":
-            dropped = self._marked(dict(attrs), True)
-        if tag in ("main", "h1"):  # a wrapper named after its sidebar or header is no boilerplate
-            self._keep_wrappers()
-        node = Node(tag, self.at, dropped, main)
+        given = dict(attrs)
+        dropped = tag in DROPPED or tag == "header" and not inside or (given.get("role") or "").strip().lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
+        marked = bool(attrs) and tag != "main" and self._marked(given, inside or tag == "article")
+        node = Node(tag, self.at, dropped, marked)
+        if tag in ("main", "h1") or tag == "article" and not marked:  # a wrapper named after its sidebar or header is no boilerplate
+            self._clear_wrappers()
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
@@ -102,11 +106,10 @@ class TreeBuilder(HTMLParser):
             node = node.parent
         return node is not None
 
-    def _keep_wrappers(self) -> None:
+    def _clear_wrappers(self) -> None:
         node = self.at
         while node is not None and node.tag not in DROPPED:
-            if node.tag != "article":
-                node.dropped = False
+            node.marked = node.marked and node.tag == "article"
             node = node.parent
 
     def _close(self, tag: str, scopes: frozenset) -> None:
@@ -121,13 +124,20 @@ class TreeBuilder(HTMLParser):
 
     @staticmethod
     def _marked(attrs: dict, inside: bool) -> bool:
-        if (attrs.get("role") or "").strip().lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true":
-            return True
         names = " ".join((attrs.get("class") or "", attrs.get("id") or ""))
         found = MARKED.intersection(WORDS.findall(CAMEL.sub(" ", names).lower())) if names != " " else ()
         return bool(found) and not (inside and found == {"header"})
 
 
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """The published density of a node; counts that are 0 are taken as 1, ``ratio`` is the body's share of link characters."""
+    if not chars:
+        return 0.0
+    t, lc, lt, rest = max(tags, 1), max(link_chars, 1), max(link_tags, 1), max(chars - link_chars, 1)
+    base = math.log(chars / rest * lc + ratio * chars + math.e)
+    return chars / t * math.log(max(chars / lc * t / lt, 1.0)) / math.log(base)
+
+
 def _measure(root: Node) -> None:
     """Sums of characters and tags, and the density of every node, from the leaves up."""
     order, stack = [], [(root, False)]
@@ -141,6 +151,7 @@ def _measure(root: Node) -> None:
                 node.chars += n
                 node.link_chars += n if linked else 0
             elif not item.dropped:
+                item.weight = node.weight * (MARKED_WEIGHT if item.marked else 1.0)
                 stack.append((item, linked))
     for node in reversed(order):
         if node.parent is not None and node is not root:
@@ -151,10 +162,7 @@ def _measure(root: Node) -> None:
             up.link_tags += node.link_tags + (node.tag == "a")
     ratio = root.link_chars / max(root.chars, 1)
     for node in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + math.e)
-            node.density = c / t * max(math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, math.e)), 0.0) if node.link_chars < c else 0.0
+        node.density = node.weight * composite(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
     for node in order:
         node.total = sum(item.density for item in node.items if isinstance(item, Node) and not item.dropped)
 
@@ -167,31 +175,57 @@ def _below(node: Node) -> Iterator[Node]:
         stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped]
 
 
+def _prose(node: Node) -> bool:
+    """Whether all of the node's text stands in paragraphs and headings, and less than ``LINKED`` of it in links."""
+    if not node.chars or node.link_chars >= LINKED * node.chars:
+        return False
+    stack = [node]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            if item.strip():
+                return False
+        elif not item.dropped and not item.marked and item.tag not in PROSE:
+            stack += item.items
+    return True
+
+
 def _content(root: Node) -> set[int]:
-    """The chosen subtrees, as ids of their nodes."""
+    """The chosen subtrees, as ids of their nodes or strings."""
     _measure(root)
     best = max(_below(root), key=lambda x: x.total)
     if best.total <= 0:
         return {id(root)}
-    node, outer, threshold = best, None, best.density
-    while node is not None:
-        threshold = min(threshold, node.density)
-        outer = node if node.main else outer
-        node = node.parent
-    if outer is not None:
-        return {id(outer)}
-    # No element names the content: lists of links go, and the subtree grows over what is left around it.
-    for node in _below(root):
-        if node.link_tags >= 2 and node.link_chars >= LINKED * node.chars and node is not best:
-            node.dropped = True
-    while best.parent not in (None, root) and best.parent.link_chars < LINKED * best.parent.chars:
-        best = best.parent
-    chosen = {id(best)}
-    # Whatever in the body is as dense as the path adds its own highest-sum subtree or, if a leaf, itself.
-    for node in _below(root):
-        if node.density >= threshold and node is not root:
-            top = max(_below(node), key=lambda x: x.total)
-            chosen.add(id(top if top.total > 0 else node))
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(node.density for node in path)
+    for node in path:
+        node.marked = False
+    # Lists of links are no text, but for those within an article.
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.dropped = node.dropped or node.link_tags >= 2 and node.link_chars >= LINKED * node.chars and node not in path
+        if not node.dropped and not node.main:
+            stack += [x for x in node.items if isinstance(x, Node)]
+    top = max((i for i, node in enumerate(path) if node.main), default=0)
+    chosen = {id(path[top])}
+    # Beside the path above the chosen node, parts as dense as the path or made of paragraphs.
+    for below, node in zip(path[top:], path[top + 1 :]):
+        for item in node.items:
+            if item is below:
+                continue
+            if isinstance(item, str):
+                n = len(item) - item.count(" ") - item.count("\n")
+                if n and composite(n, 0, 0, 0, root.link_chars / max(root.chars, 1)) >= threshold:
+                    chosen.add(id(item))
+            elif not item.dropped and not item.marked:
+                if _prose(item):
+                    chosen.add(id(item))
+                elif item.density >= threshold:
+                    own = max(_below(item), key=lambda x: x.total)
+                    chosen.add(id(own if own.total > 0 else item))
     return chosen
 
 
@@ -212,9 +246,9 @@ def _blocks(root: Node, chosen: set[int]) -> list[str]:
         if item is None:
             flush()
         elif isinstance(item, str):
-            if inside:
+            if inside or id(item) in chosen:
                 run.append(item)
-        elif not item.dropped:
+        elif not item.dropped and not item.marked:
             inside = inside or id(item) in chosen
             block = item.tag in BLOCKS
             if block:

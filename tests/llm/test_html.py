@@ -1,5 +1,9 @@
+import math
+import random
+
 import pytest
 
+from helixframe.llm import html_text
 from helixframe.llm.html_text import extract_text, main_text
 
 LONG = "This is a paragraph with quite a few words, and it goes on for a while so that it is dense. "
@@ -34,3 +38,61 @@ def test_rows(spark):
     got = extract_text(df).collect()
     assert [(r["text_"], r.n_chars) for r in got] == [("", 0), ("", 0), ("é", 1), ("é", 1)] and got[0]["Text"] == "mine"
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_neutral_names_leave_the_choice_to_density():
+    page = f"<body><div id=wrap><div>Welcome to the site of ours</div><div><p>{LONG}</p><p>{LONG * 2}</p><p>{LONG}</p></div><div>Copyright, all rights reserved</div></div></body>"
+    assert main_text(page) == "\n".join(x.strip() for x in (LONG, LONG * 2, LONG))
+    comments = f"<body><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div id=comments>" + f"<div class=comment><p>{LONG}</p></div>" * 6 + "</div></body>"
+    assert main_text(comments) == f"T\n{LONG.strip()}\n{LONG.strip()}"
+    articles = f"<body><article><p>{LONG}</p><p>{LONG}</p></article><div><a href=1>one</a> <a href=2>two</a></div><article><p>{LONG}</p></article></body>"
+    assert main_text(articles).count(LONG.strip()) == 3 and "one" not in main_text(articles)
+
+
+def brute_density(item, body):
+    """Composite density straight from the definition, walking each subtree anew."""
+    def walk(x, linked):
+        if isinstance(x, str):
+            n = len(x.replace(" ", "").replace("\n", ""))
+            return n, 0, n if linked else 0, 0
+        linked = linked or x.tag == "a"
+        parts = [walk(y, linked) for y in x.items if isinstance(y, str) or not y.dropped]
+        c, t, lc, lt = (sum(p[k] for p in parts) for k in range(4))
+        inner = [y for y in x.items if isinstance(y, html_text.Node) and not y.dropped]
+        return c, t + len(inner), lc, lt + sum(y.tag == "a" for y in inner)
+
+    def inside_link(x):
+        return x is not None and (x.tag == "a" or inside_link(x.parent))
+
+    c, t, lc, lt = walk(item, inside_link(item.parent))
+    bc, _, blc, _ = walk(body, False)
+    if not c:
+        return 0.0
+    t, lc1, lt, rest = t or 1, lc or 1, lt or 1, (c - lc) or 1
+    base = math.log(c / rest * lc1 + blc / max(bc, 1) * c + math.e)
+    weight, up = 1.0, item
+    while up is not None:
+        weight *= 0.2 if up.marked else 1
+        up = up.parent
+    return weight * c / t * math.log(max(c / lc1 * t / lt, 1.0), base)
+
+
+def test_densities_and_choice_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        def tree(depth):
+            tag = rng.choice(["div", "div", "section", "p", "a", "span", "nav", "div class=sidebar"])
+            inner = "".join(rng.choice(["words of text " * rng.randint(1, 9), tree(depth - 1) if depth else ""]) for _ in range(rng.randint(1, 5)))
+            return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+        builder = html_text.TreeBuilder()
+        builder.feed("".join(tree(4) for _ in range(3)))
+        builder.close()
+        nodes = list(html_text._below(builder.root))
+        expected = [brute_density(x, builder.root) for x in nodes]
+        sums = [sum(brute_density(y, builder.root) for y in x.items if isinstance(y, html_text.Node) and not y.dropped) for x in nodes]
+        chosen = html_text._content(builder.root)
+        assert [x.density for x in nodes] == pytest.approx(expected)
+        if max(sums) > 0:
+            best = nodes[max(range(len(nodes)), key=lambda i: sums[i])]
+            assert id(best) in chosen
