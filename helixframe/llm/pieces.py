@@ -70,7 +70,7 @@ class CharMap:
 
 
 class PieceModel:
-    """A SentencePiece BPE model with byte fallback, read from its file."""
+    """A SentencePiece model with byte fallback, read from its file: BPE, or unigram for counts."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -79,8 +79,9 @@ class PieceModel:
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         types = [p.type for p in proto.pieces]
-        if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or USER in types or UNUSED in types:
-            raise ValueError("a BPE model with byte fallback and without user-defined or unused pieces is needed")
+        self.unigram = proto.trainer_spec.model_type == 1
+        if proto.trainer_spec.model_type not in (1, 2) or not proto.trainer_spec.byte_fallback or USER in types or UNUSED in types:
+            raise ValueError("a BPE or unigram model with byte fallback and without user-defined or unused pieces is needed")
         if proto.trainer_spec.treat_whitespace_as_suffix or not proto.normalizer_spec.escape_whitespaces:
             raise ValueError("space marks are needed, before their words")
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
@@ -247,7 +248,10 @@ class Encoder(dict):
 @cache
 def _encoder(model_path: str) -> Encoder:
     """One for each worker process, so that later tasks find the chunks of earlier ones."""
-    return Encoder(PieceModel(model_path))
+    model = PieceModel(model_path)
+    if model.unigram:
+        raise ValueError("a BPE model is needed")
+    return Encoder(model)
 
 
 def encode_texts(df: DataFrame, text: str, model_path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from .token_counts import count_tokens
 from .urls import filter_urls
 from .vectors import near_vectors
 
-MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+MODEL_PATH = os.environ.get("PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 
 URL_RULES = """
 SELECT * FROM VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),

@@ -4,12 +4,18 @@ A text falls into pre-tokens that no piece crosses. The distinct pre-tokens of a
 a trie; walking it depth first, in sorted order, the best forward score and its number of tokens
 are computed once for each prefix that pre-tokens share, and the count at each terminal is stored.
 Only the path from the root to the current node is held.
+
+A unigram model file gives its log-probabilities itself, and counts are those of its own encoder. The
+scores in a BPE file are merge ranks; there the probability of a piece follows from its rank by
+Zipf's law, and counts are those of a unigram model with this vocabulary and these probabilities,
+which is not the file's own segmentation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
+from math import log
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -23,6 +29,15 @@ from .shared import free_name, slices
 UNKNOWN_PENALTY = 10.0
 
 
+def unigram_scores(model: PieceModel) -> dict[str, float]:
+    """Log-probabilities of the model's pieces: its own, or of the n-th best merge 1 / n, normalised."""
+    if model.unigram:
+        return dict(model.scores)
+    ranked = sorted(model.scores, key=lambda p: -model.scores[p])
+    total = log(sum(1 / n for n in range(1, len(ranked) + 1)))
+    return {piece: -log(n) - total for n, piece in enumerate(ranked, 1)}
+
+
 class UnigramCounter(dict):
     """pre-token -> tokens on its best path (highest sum of piece scores; of equals the longest last piece).
 
@@ -72,11 +87,11 @@ class UnigramCounter(dict):
 def _counter(model_path: str) -> tuple[PieceModel, UnigramCounter]:
     """One for each worker process."""
     model = PieceModel(model_path)
-    return model, UnigramCounter(model.scores)
+    return model, UnigramCounter(unigram_scores(model))
 
 
 def count_tokens(df: DataFrame, text: str, model_path: str) -> DataFrame:
-    """Adds ``n_tokens`` and ``n_pretokens`` to every row, under the pieces and scores of a model file.
+    """Adds ``n_tokens`` and ``n_pretokens`` to every row, under the pieces and probabilities of a model file.
 
     Null and empty texts count 0. Repeated rows count alike; texts of any length are counted whole.
     Pre-tokens over ``LONGEST`` characters are counted but not remembered. Input columns are kept; an

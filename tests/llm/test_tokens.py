@@ -88,8 +88,28 @@ def test_token_counts_of_rows(spark):
     df = spark.createDataFrame([(t,) for t in [*TEXTS, "The", "The"]], "text string")
     got = [(r.n_tokens, r.n_pretokens) for r in token_counts.count_tokens(df, "text", MODEL_PATH).collect()]
     assert got[0] == got[1] == (0, 0) and got[-1] == got[-2] and len(got) == len(TEXTS) + 2
-    counter = token_counts.UnigramCounter(model.scores)
+    counter = token_counts.UnigramCounter(token_counts.unigram_scores(model))
     for text, (tokens, parts) in zip(TEXTS, got):
         chunks = model.chunk.findall(model.normalized(text or "")[0])
         counter.learn(chunks)
         assert tokens == sum(counter[c] for c in chunks) and parts == len(chunks)
+
+
+def test_counts_equal_the_library_on_a_unigram_model(spark, tmp_path):
+    """A unigram model file made of the vocabulary and the probabilities that the counts go by."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(MODEL_PATH, "rb").read())
+    scores = token_counts.unigram_scores(pieces.PieceModel(MODEL_PATH))
+    proto.trainer_spec.model_type = 1
+    for p in proto.pieces:
+        p.score = scores.get(p.piece, p.score) if p.type == pieces.NORMAL else p.score
+    path = tmp_path / "unigram.model"
+    path.write_bytes(proto.SerializeToString())
+    own = SentencePieceProcessor(model_file=str(path))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + TEXTS[:11]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    expected = [len(own.encode(t or "")) for t in texts]
+    for model in (str(path), MODEL_PATH):
+        assert [r.n_tokens for r in token_counts.count_tokens(df, "text", model).collect()] == expected
+    with pytest.raises(ValueError, match="BPE"):
+        pieces._encoder(str(path))
