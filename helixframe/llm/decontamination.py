@@ -11,22 +11,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, slices
+from .shared import dropped, free_name, saved, slices
 
 Q = 8
 #: Edits allowed for each character of a passage, and the shortest passage that is searched with edits.
 RATE, LEAST = 0.1, 40
-#: Characters of passages in one block of the index (about 16 bytes of index each).
-PASS_CHARS = 4_000_000
+#: Characters of passages in one block of the index (about 16 bytes of index each), and blocks that a worker holds at once.
+PASS_CHARS, HELD = 2_000_000, 4
 #: Bits of the first test of a q-gram.
 TABLE_BITS = 22
+#: Pairs of equal q-grams that are looked at together (about 50 bytes each).
+TOGETHER = 4_000_000
 HITS = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("edits", T.IntegerType())]))
 
 
@@ -65,6 +70,7 @@ class Passages:
         self.least = sizes + 1 - Q * (self.edits + 1)
         self.band = self.edits + 1
         self.masks: dict[int, dict[str, int]] = {}
+        self.halves: tuple[Passages, Passages] | None = None
         hashes = np.concatenate(grams)
         order = np.argsort(hashes, kind="stable")
         self.item = np.repeat(np.arange(len(sizes)), [len(g) for g in grams])[order]
@@ -75,13 +81,21 @@ class Passages:
         self.table[hashes >> np.uint32(32 - TABLE_BITS)] = True
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        """For each folded text the (passage, begin, end, edits) found: the best place of each passage."""
-        out: list[list] = [[] for _ in texts]
+        """For each folded text the (passage, begin, end, edits) found: of each passage the place of
+        fewest edits, of those that are found the earliest."""
+        return [[(self.ids[t], begin, end, edits) for t, (edits, begin, end) in sorted(best.items())] for best in self._best(texts)]
+
+    def _best(self, texts: list[str]) -> list[dict[int, tuple[int, int, int]]]:
+        """For each text {passage: (edits, begin, end)}.
+
+        Where equal q-grams would make more than ``TOGETHER`` pairs, the texts are halved, then a
+        single text is cut into windows that overlap by the longest place, then the passages are.
+        """
         lengths = np.array([len(t) + 1 for t in texts])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         codes = _codes("\0".join(texts))
         if len(codes) < Q:
-            return out
+            return [{} for _ in texts]
         hashes = _grams(codes)
         places = np.nonzero(self.table[hashes >> np.uint32(32 - TABLE_BITS)])[0]
         found = np.minimum(np.searchsorted(self.known, hashes[places]), len(self.known) - 1)
@@ -92,6 +106,28 @@ class Passages:
         enough = np.bincount(doc, minlength=len(texts)) >= self.least.min()
         keep = enough[doc]
         places, found, doc = places[keep], found[keep], doc[keep]
+        total = int(self.many[found].sum())
+        reach = int((self.sizes + self.edits).max()) + Q
+        if total > TOGETHER and len(texts) > 1:
+            half = len(texts) // 2
+            return self._best(texts[:half]) + self._best(texts[half:])
+        if total > TOGETHER and len(texts[0]) > 4 * reach:
+            middle = len(texts[0]) // 2
+            first, second = self._best([texts[0][: middle + reach]])[0], self._best([texts[0][middle:]])[0]
+            for t, (edits, begin, end) in second.items():
+                first[t] = min(first.get(t, (len(texts[0]) + 1, 0, 0)), (edits, begin + middle, end + middle))
+            return [first]
+        if total > TOGETHER and len(self.texts) > 1:
+            half = len(self.texts) // 2
+            if self.halves is None:
+                self.halves = Passages(self.ids[:half], self.texts[:half]), Passages(self.ids[half:], self.texts[half:])
+            first, second = (part._best(texts)[0] for part in self.halves)
+            return [first | {t + half: place for t, place in second.items()}]
+        return self._together(texts, lengths, starts, places, found, doc)
+
+    def _together(self, texts: list[str], lengths: np.ndarray, starts: np.ndarray, places: np.ndarray, found: np.ndarray, doc: np.ndarray) -> list[dict[int, tuple[int, int, int]]]:
+        """``_best`` by way of all pairs of equal q-grams at once."""
+        out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
         many = self.many[found]
         total = int(many.sum())
         if not total:
@@ -99,7 +135,8 @@ class Passages:
         entry = np.repeat(self.first[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
         item, doc, place = self.item[entry], np.repeat(doc, many), np.repeat(places, many)
         both = doc * len(self.sizes) + item
-        keep = np.bincount(both, minlength=len(texts) * len(self.sizes))[both] >= self.least[item]
+        _, which, shared = np.unique(both, return_inverse=True, return_counts=True)
+        keep = shared[which] >= self.least[item]
         entry, item, doc, place, both = entry[keep], item[keep], doc[keep], place[keep], both[keep]
         diagonal = place - starts[doc] - self.at[entry] + self.sizes[item]
         wide = self.band[item]
@@ -109,18 +146,15 @@ class Passages:
         keys, at, counts = np.unique(key, return_index=True, return_counts=True)
         at = at % len(item)
         good = counts >= self.least[item[at]]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        span = int(lengths.max() + self.sizes.max()) + 2
         for one, i in zip(keys[good].tolist(), at[good].tolist(), strict=True):
             d, t = int(doc[i]), int(item[i])
-            if best.get((d, t), (1, 0, 0))[0] == 0:
+            if out[d].get(t, (1, 0, 0))[0] == 0:
                 continue
-            band = one % (int(lengths.max() + self.sizes.max()) + 2) - 1
-            left = band * int(self.band[t]) - int(self.sizes[t])
+            left = (one % span - 1) * int(self.band[t]) - int(self.sizes[t])
             match = self._verified(texts[d], t, left, left + 2 * int(self.band[t]))
-            if match and ((d, t) not in best or match < best[d, t]):
-                best[d, t] = match
-        for (d, t), (edits, begin, end) in sorted(best.items()):
-            out[d].append((self.ids[t], begin, end, edits))
+            if match and (t not in out[d] or match < out[d][t]):
+                out[d][t] = match
         return out
 
     def _within(self, region: str, t: int, k: int) -> bool:
@@ -237,25 +271,40 @@ def find_passages(df: DataFrame, text: str, benchmark: DataFrame, item: str, ite
     items of equal text are all reported. Repeated rows are searched each. ``keep`` names
     the input columns to return (default all); a clashing added name ends in an underscore.
 
-    The benchmark is a stated query set: it is broadcast in blocks of ``PASS_CHARS`` characters, each
-    of which is held against every slice of rows.
+    The benchmark is a stated query set of any size: it passes through the driver in blocks of
+    ``PASS_CHARS`` characters, of which ``HELD`` are broadcast at a time and held against all rows.
+    For a larger benchmark the rows and what was found in them are saved before the next blocks.
     """
+    spark = df.sparkSession
     name = free_name(df, "hits")
     columns = keep if keep is not None else df.columns
-    schema = T.StructType([*(df.schema[c] for c in columns), T.StructField(name, HITS)])
-    passes = [df.sparkSession.sparkContext.broadcast(p) for p in _passes(benchmark, item, item_text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            texts = [folded(x) if x else "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            hits: list[list[dict]] = [[] for _ in texts]
-            for passages in passes:
-                for own, found in zip(hits, passages.value.search(texts), strict=True):
-                    own += [dict(zip(("item", "begin", "end", "edits"), h, strict=True)) for h in found]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, HIT_TYPE)], [*columns, name])
-
-    return df.mapInArrow(run, schema)
+    held = df.select(*dict.fromkeys([*columns, text]), F.array().cast(HITS).alias(name))
+    blocks = _passes(benchmark, item, item_text)
+    source: DataFrame | None = None
+    while part := list(islice(blocks, HELD)):
+        if source is not None:
+            table = saved(held)
+            sent.destroy()
+            if source is not df:
+                dropped(source)
+            held, source = table, table
+        else:
+            source = df
+        sent = spark.sparkContext.broadcast(part)
+        held = held.mapInArrow(partial(_with_hits, sent, text, name), held.schema)
+    return held.select(*columns, name)
+
+
+def _with_hits(sent: Broadcast, text: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the hits of some blocks added to those they have."""
+    for batch in slices(batches, text):
+        texts = [folded(x) if x else "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        at = batch.schema.get_field_index(name)
+        hits = batch.column(at).to_pylist()
+        for block in sent.value:
+            for own, found in zip(hits, block.search(texts), strict=True):
+                own += [dict(zip(("item", "begin", "end", "edits"), h, strict=True)) for h in found]
+        yield batch.set_column(at, name, pa.array(hits, HIT_TYPE))
 
 
 HIT_TYPE = pa.list_(pa.struct([("item", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))

@@ -180,6 +180,32 @@ def test_passages_against_brute_force():
             assert hit[0][3] == best and edit_distance_within(index.texts[i], doc[hit[0][1] : hit[0][2]]) == best
 
 
+def test_few_pairs_at_once_find_the_same(monkeypatch):
+    rng = random.Random(9)
+    items = [text(rng.randint(10, 40), 3100 + i) for i in range(9)] + ["ab" * 60, "ab" * 50, "abc " * 20]
+    docs = [decontamination.folded(text(300, i) + " " + edited(items[i % 12], 1, i) + " " + text(200, 50 + i) + " " + items[(i + 5) % 12] + " tail") for i in range(6)] + ["ab" * 2000]
+    find = lambda: decontamination.Passages(list(range(12)), items).search(docs)
+    whole = find()
+    for limit in (300, 40):
+        monkeypatch.setattr(decontamination, "TOGETHER", limit)
+        assert [[(h[0], h[3]) for h in hits] for hits in find()] == [[(h[0], h[3]) for h in hits] for hits in whole]
+    assert all(whole[i] for i in range(6))
+
+
+def test_items_of_any_length_against_brute_force(spark):
+    items = [(n, text(40, 5000 + n)[:n].strip() or "x") for n in range(1, 61)]
+    docs = [(i, text(30, 6000 + i) + " " + items[i % 60][1] + " " + text(30, 7000 + i)) for i in range(60)]
+    found = decontamination.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", keep=["doc_id"])
+    got = {r.doc_id: {h.item: h.edits for h in r.hits} for r in found.collect()}
+    for i, doc in docs:
+        for n, item in items:
+            if len(item) < decontamination.LEAST:
+                expected = f" {item} " in f" {doc} "
+            else:
+                expected = edit_distance_within(item, doc) <= min(int(len(item) * 0.1), (len(item) - 8) // 8)
+            assert (n in got[i]) == expected, (i, n)
+
+
 def test_passage_rows(spark, monkeypatch):
     item = text(30, 1)
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, item), (5, text(25, 2))], "item_id int, text string")
@@ -190,6 +216,9 @@ def test_passage_rows(spark, monkeypatch):
         assert [sorted(h.item for h in r["hits_"]) for r in got] == [[1, 4], [], [], [], [1, 4], [1, 4]]
         hit = got[0]["hits_"][0]
         assert (hit.begin, hit.end, hit.edits) == (2, 2 + len(item), 0) and got[0]["HITS"] == "h"
+    monkeypatch.setattr(decontamination, "HELD", 1)  # one block a pass, with saved tables between
+    again = decontamination.find_passages(docs, "text", bench, "item_id", "text").collect()
+    assert sorted((r.doc_id, str(r["text"]), sorted(h.item for h in r["hits_"])) for r in again) == sorted((r.doc_id, str(r["text"]), sorted(h.item for h in r["hits_"])) for r in got)
     none = decontamination.find_passages(docs, "text", bench.limit(0), "item_id", "text").collect()
     assert all(r["hits_"] == [] for r in none) and len(none) == 6
     assert decontamination.find_passages(docs.limit(0), "text", bench, "item_id", "text").count() == 0
