@@ -1,30 +1,42 @@
 """Document quality by co-training a text view and a metadata view.
 
 Two logistic classifiers learn from the same labelled sample, one from the text alone and one from
-the metadata alone. In each round either takes from an unlabelled pool the documents of which it is
-surest and hands them, with the label it gives, to the other. Both are then calibrated on labelled
-documents that neither has seen, and all documents are scored by the calibrated log-odds together.
+the metadata alone. In each round both score all unlabelled documents; either takes those that it
+ranks surest as good and as bad and hands them to the other. What a rank is worth is measured on labelled
+documents that no view has learnt from: the share of the label among those ranked as high is the
+label handed over, and its gain on the label's share overall is what the document counts, so that a
+weak view hands over no more certainty than it has shown, and nothing where the gain is small. All documents are scored by the calibrated
+log-odds of both views together.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import free_name, slices
 
-#: Bounds of the fitting sample: labelled and unlabelled documents, taken by the order of a hash of their id.
-LABELLED, POOL = 8_000, 4_000
-ROUNDS, HANDED, SURE = 3, 200, 0.95
+#: Bound of the labelled sample, half of it for either label, taken by the order of a hash of the id.
+LABELLED = 8_000
+#: Rounds of co-training, and the documents that a view hands over for either label in each.
+ROUNDS, HANDED = 3, 100
+#: Times that the odds of a label, as held-out documents show them, must exceed its odds overall for a document to be
+#: handed over, and the held-out documents at least that are looked at for that.
+LIFT, SHOWN = 1.5, 20
 SHAPES, PAIRS, PLACES = 12, 256, 64
+TEXT_WIDTH = SHAPES + PAIRS
+#: Parts in which the surest documents of all tasks are first ranked.
+RANKED = 256
+#: Rows that a fit holds as doubles at once.
+CHUNK = 1024
 
 
 def text_features(texts: list[str]) -> np.ndarray:
@@ -68,23 +80,30 @@ def metadata_features(langs: list, sources: list, sizes: list) -> np.ndarray:
 
 @dataclass
 class Logistic:
-    """Ridge logistic regression on standardised features, fitted by Newton steps."""
+    """Ridge logistic regression on standardised features, fitted by Newton steps over chunks of rows."""
 
     ridge: float = 1.0
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
-        self.scale = np.where(self.scale > 1e-9, self.scale, np.inf)
-        z = np.hstack([np.ones((len(x), 1)), (x - self.mean) / self.scale])
-        penalty = np.full(z.shape[1], self.ridge)
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
+        """``y`` may lie anywhere between 0 and 1; ``weight`` says what each row counts (default 1)."""
+        weight = np.ones(len(y)) if weight is None else weight
+        self.mean, self.scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
+        self.scale = np.where(self.scale > 1e-6, self.scale, np.inf)
+        penalty = np.full(x.shape[1] + 1, self.ridge)
         penalty[0] = 1e-6
-        w = np.zeros(z.shape[1])
+        w = np.zeros(x.shape[1] + 1)
         for _ in range(25):
-            p = _chance(z @ w)
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (p - y) + penalty * w)
+            curve, slope = np.diag(penalty + 1e-9), penalty * w
+            for at in range(0, len(x), CHUNK):
+                z = np.hstack([np.ones((len(x[at : at + CHUNK]), 1)), (x[at : at + CHUNK] - self.mean) / self.scale])
+                p = _chance(z @ w)
+                own = weight[at : at + CHUNK]
+                curve += (z * (own * p * (1 - p))[:, None]).T @ z
+                slope += z.T @ (own * (p - y[at : at + CHUNK]))
+            step = np.linalg.solve(curve, slope)
             w = w - step
             if np.abs(step).max() < 1e-4:
                 break
@@ -99,53 +118,114 @@ def _chance(odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
+#: Gives the pool's surest documents under a model: features of both views, and for each row the view that chose it and the label it gives.
+Choose = Callable[["CoTrained"], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
 @dataclass
 class CoTrained:
-    """Both views, their calibrations (slope, offset) and the log-odds of the labels."""
+    """Both views, their calibrations (slope, offset) and the log-odds of the labels.
+
+    ``shift`` is added to the log-odds where the sample holds the labels in other shares than the
+    table it was drawn from. ``handed`` has, for each round, how many documents either view has got
+    from the other so far.
+    """
 
     text: Logistic = field(default_factory=lambda: Logistic(5.0))
     metadata: Logistic = field(default_factory=lambda: Logistic(20.0))
     calibration: list[tuple[float, float]] = field(default_factory=list)
+    ranks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     prior: float = 0.0
+    shift: float = 0.0
     handed: list[tuple[int, int]] = field(default_factory=list)
 
-    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> CoTrained:
-        """``y`` is 1, 0 or NaN (pool). Every fifth labelled row is kept for calibration."""
-        labelled, pool = np.nonzero(~np.isnan(y))[0], np.nonzero(np.isnan(y))[0]
-        held = labelled[::5]
-        learn = np.setdiff1d(labelled, held)
-        views = (self.text, self.metadata)
-        x = (text, meta)
-        gained: list[dict[int, float]] = [{}, {}]
-
-        def refit(v: int) -> None:
-            more = np.array(sorted(gained[v]), dtype=int)
-            views[v].fit(x[v][np.concatenate([learn, more])], np.concatenate([y[learn], [gained[v][i] for i in more]]))
-
-        def calibrate(v: int) -> tuple[float, float]:
-            w = Logistic(0.1).fit(views[v].odds(x[v][held])[:, None], y[held])
-            slope = float(w.weights[1] / w.scale[0])
-            return slope, float(w.weights[0] - slope * w.mean[0])
-
-        refit(0), refit(1)
-        for _ in range(ROUNDS):
-            for v in (0, 1):
-                slope, offset = calibrate(v)
-                chance = _chance(slope * views[v].odds(x[v][pool]) + offset)
-                surest = np.argsort(-np.abs(chance - 0.5), kind="stable")
-                sure = [i for i in surest if max(chance[i], 1 - chance[i]) >= SURE and int(pool[i]) not in gained[1 - v]][:HANDED]
-                gained[1 - v] |= {int(pool[i]): float(chance[i] > 0.5) for i in sure}
-            self.handed.append((len(gained[0]), len(gained[1])))
-            refit(0), refit(1)
-        self.calibration = [calibrate(0), calibrate(1)]
+    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, choose: Choose | None = None, rounds: int = ROUNDS) -> CoTrained:
+        """``y`` is 1, 0 or NaN; rows of NaN are the pool where ``choose`` gives none. Every fifth row of either label is kept for calibration."""
+        held = np.concatenate([np.nonzero(y == c)[0][::5] for c in (0, 1)])
+        learn = np.setdiff1d(np.nonzero(~np.isnan(y))[0], held)
+        choose = choose or _chooser(text, meta, np.nonzero(np.isnan(y))[0])
         share = np.clip(y[held].mean(), 1e-3, 1 - 1e-3)
         self.prior = float(np.log(share / (1 - share)))
+        x = [text[learn], meta[learn]]
+        labels, weights = [y[learn], y[learn]], [np.ones(len(learn))] * 2
+        at_hand = (text[held], meta[held])
+
+        def refit() -> None:
+            for v, view in enumerate((self.text, self.metadata)):
+                view.fit(x[v], labels[v], weights[v])
+            self.calibration = [self._calibrated(view, own, y[held]) for view, own in zip((self.text, self.metadata), at_hand, strict=True)]
+            self.ranks = [_ranked(lift, y[held]) for lift in self.lifts(*at_hand)]
+
+        refit()
+        got = [0, 0]
+        for _ in range(rounds):
+            *more, view, chance = choose(self)
+            for v in (0, 1):
+                given = view == 1 - v
+                x[v] = np.concatenate([x[v], more[v][given]])
+                labels[v] = np.concatenate([labels[v], chance[given]])
+                gain = np.maximum((chance[given] - share) / (1 - share), (share - chance[given]) / share)
+                weights[v] = np.concatenate([weights[v], gain])
+                got[v] += int(given.sum())
+            self.handed.append((got[0], got[1]))
+            refit()
         return self
 
+    @staticmethod
+    def _calibrated(view: Logistic, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        w = Logistic(0.1).fit(view.odds(x)[:, None], y)
+        slope = float(w.weights[1] / w.scale[0])
+        return slope, float(w.weights[0] - slope * w.mean[0])
+
+    def lifts(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log-odds of both views above the prior: 0 where a view tells nothing."""
+        (a, b), (c, d) = self.calibration
+        return a * self.text.odds(text) + b - self.prior, c * self.metadata.odds(meta) + d - self.prior
+
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Chance of good quality: calibrated log-odds of both views, the prior counted once."""
-        (a, b), (c, d) = self.calibration
-        return _chance(a * self.text.odds(text) + b + c * self.metadata.odds(meta) + d - self.prior)
+        first, second = self.lifts(text, meta)
+        return _chance(first + second + self.prior + self.shift)
+
+
+def _ranked(lift: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Held-out lifts from the lowest up, and the labels in that order, summed."""
+    order = np.argsort(lift, kind="stable")
+    return lift[order], np.concatenate([[0], np.cumsum(y[order])])
+
+
+def surest(model: CoTrained, text: np.ndarray, meta: np.ndarray, handed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each view and label (view, label, rows, lifts towards the label, chances of good): at most ``handed`` rows, the surest first."""
+    share = 1 / (1 + np.exp(-model.prior))
+    for view, lift in enumerate(model.lifts(text, meta)):
+        known, good = model.ranks[view]
+        for label, towards in ((1, lift), (0, -lift)):
+            rows = np.argsort(-towards, kind="stable")[:handed]
+            # The held-out documents that are at least as sure of the label, SHOWN at least.
+            if label:
+                many = np.clip(len(known) - np.searchsorted(known, lift[rows]), min(SHOWN, len(known)), None)
+                hits = good[-1] - good[len(known) - many]
+            else:
+                many = np.clip(np.searchsorted(known, lift[rows], side="right"), min(SHOWN, len(known)), None)
+                hits = good[many]
+            chance = (hits + 2 * share) / (many + 2)
+            odds = np.log(chance / (1 - chance)) - model.prior
+            sure = (odds if label else -odds) >= np.log(LIFT)
+            yield view, label, rows[sure], towards[rows][sure], chance[sure]
+
+
+def _chooser(text: np.ndarray, meta: np.ndarray, pool: np.ndarray) -> Choose:
+    """Chooses from rows at hand; a row is handed over once."""
+    free = set(pool.tolist())
+
+    def choose(model: CoTrained) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at = np.array(sorted(free), dtype=int)
+        chosen = [(int(at[row]), view, p) for view, _, rows, _, chance in surest(model, text[at], meta[at], HANDED) for row, p in zip(rows, chance, strict=True)]
+        free.difference_update(row for row, _, _ in chosen)
+        rows = np.array([row for row, _, _ in chosen], dtype=int)
+        return text[rows], meta[rows], np.array([view for _, view, _ in chosen]), np.array([p for _, _, p in chosen])
+
+    return choose
 
 
 def _features(batch: pa.RecordBatch, names: tuple[str, str, str, str]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,37 +233,85 @@ def _features(batch: pa.RecordBatch, names: tuple[str, str, str, str]) -> tuple[
     return text_features([t or "" for t in text]), metadata_features(lang, source, size)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, key: str = "doc_id", label: str = "quality", columns: tuple[str, str, str, str] = ("text", "lang", "source", "n_chars")) -> CoTrained | None:
-    """Co-trains on at most ``labelled`` labelled and ``pool`` unlabelled documents.
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary())
+
+
+def _unpacked(table: pa.Table) -> np.ndarray:
+    """The feature rows of a fetched table as one matrix of floats, straight from its buffers."""
+    column = table.column("x").to_pylist()
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int | None = None, rounds: int = ROUNDS, handed: int = HANDED, key: str = "doc_id", label: str = "quality", columns: tuple[str, str, str, str] = ("text", "lang", "source", "n_chars")) -> CoTrained | None:
+    """Co-trains on at most ``labelled`` labelled documents, half for either label, and all unlabelled ones.
 
     Labels of one id count by majority; ids with a tie, a null id or no document teach nothing. None
-    if either label has fewer than ten documents in the sample.
+    if the sample holds fewer than ten documents of either label. Each round reads all documents once
+    and fetches at most ``handed`` of them for either view and label; ties go by a hash of the id.
+    Labelled documents beyond the bound count as unlabelled, documents with a null id are never
+    handed over. ``pool`` may bound the unlabelled documents looked at (default: all).
     """
+    spark = docs.sparkSession
     votes = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.avg(F.col(label).cast("double")).alias("_y")).where("_y <> 0.5")
-    drawn = votes.select("_id", F.round("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(labelled)
-    free = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id")).join(votes, "_id", "left_anti")
-    free = free.select("_id", F.lit(None).cast("double").alias("_y")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(pool)
-    # At most labelled + pool rows: a bounded table to broadcast, and a bounded number of feature rows to fetch.
-    ids = F.broadcast(drawn.union(free))
-    rows = docs.select(F.col(key).alias("_id"), *columns).join(ids, "_id")
+    votes = votes.join(docs.select(F.col(key).alias("_id")), "_id", "left_semi").select("_id", F.round("_y").alias("_y"))
+    tally = {row["_y"]: row["count"] for row in votes.groupBy("_y").count().collect()}
+    halves = [votes.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(labelled // 2) for y in (0.0, 1.0)]
+    given = docs.select(F.col(key).alias("_id"), *columns)
+    kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, columns[0]):
-            text, meta = _features(batch, columns)
-            both = pa.array(list(np.hstack([text, meta]).astype(np.float32)), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), both], ["_id", "_y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), _packed(np.hstack(_features(batch, columns)))], ["_id", "_y", "x"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(run, f"_id {kind}, _y double, x array<float>").toArrow()
-    if not got.num_rows:
+    # At most ``labelled`` ids: a bounded table to broadcast, and a bounded number of feature rows to fetch.
+    sample = given.join(F.broadcast(halves[0].union(halves[1])), "_id").mapInArrow(fetched, f"_id {kind}, _y double, x binary").toArrow()
+    order = np.argsort([zlib.crc32(str(i).encode()) for i in sample.column("_id").to_pylist()], kind="stable")
+    if not len(order):
         return None
-    order = np.argsort([zlib.crc32(str(i).encode()) for i in got.column("_id").to_pylist()], kind="stable")
-    x = np.array(got.column("x").to_pylist(), dtype=np.float64)[order]
-    y = np.array([np.nan if v is None else v for v in got.column("_y").to_pylist()])[order]
+    x, y = _unpacked(sample)[order], np.asarray(sample.column("_y"))[order]
     if min((y == 1).sum(), (y == 0).sum()) < 10:
         return None
-    cut = SHAPES + PAIRS
-    return CoTrained().fit(x[:, :cut], x[:, cut:], y)
+    taken = sample.select(["_id"])
+
+    def choose(model: CoTrained) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal taken
+        free = given.where("_id IS NOT NULL").join(F.broadcast(spark.createDataFrame(taken.to_pandas(), f"_id {kind}")), "_id", "left_anti")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {}
+            for batch in slices(batches, columns[0]):
+                text, meta = _features(batch, columns)
+                both = np.hstack([text, meta]).astype(np.float32)
+                ids = batch.column("_id").to_pylist()
+                for view, side, rows, lifts, chance in surest(model, text, meta, handed):
+                    held = best.setdefault((view, side), [])
+                    held += zip(lifts.tolist(), (ids[i] for i in rows), both[rows], chance.tolist(), strict=True)
+                    held.sort(key=lambda row: -row[0])
+                    del held[handed:]
+            for (view, side), held in best.items():
+                if held:
+                    lift, own, rows, chance = zip(*held, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, batch_kind), pa.array([view] * len(own), pa.int32()), pa.array([side] * len(own), pa.int32()), pa.array(lift), pa.array(chance), _packed(np.array(rows))], ["_id", "view", "side", "lift", "chance", "x"])
+
+        batch_kind = sample.schema.field("_id").type
+        if pool is not None:
+            free = free.orderBy(F.xxhash64("_id"), "_id").limit(pool)
+        found = free.mapInArrow(run, f"_id {kind}, view int, side int, lift double, chance double, x binary")
+        first = [F.desc("lift"), F.xxhash64("_id"), "_id"]
+        part = F.pmod(F.xxhash64("_id"), F.lit(RANKED))
+        few = found.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("view", "side", "part").orderBy(*first))).where(F.col("at") <= handed)
+        few = few.withColumn("at", F.row_number().over(Window.partitionBy("view", "side").orderBy(*first))).where(F.col("at") <= handed)
+        got = few.select("_id", "view", "side", "at", "chance", "x").toArrow().sort_by([("view", "ascending"), ("side", "ascending"), ("at", "ascending")])
+        if not got.num_rows:
+            return np.zeros((0, TEXT_WIDTH)), np.zeros((0, x.shape[1] - TEXT_WIDTH)), np.zeros(0), np.zeros(0)
+        taken = pa.concat_tables([taken, got.select(["_id"])])
+        more = _unpacked(got)
+        return more[:, :TEXT_WIDTH], more[:, TEXT_WIDTH:], np.asarray(got.column("view")), np.asarray(got.column("chance"))
+
+    model = CoTrained().fit(x[:, :TEXT_WIDTH], x[:, TEXT_WIDTH:], y, choose, rounds)
+    model.shift = float(np.log(tally[1.0] / tally[0.0]) - np.log((y == 1).sum() / (y == 0).sum()))
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, columns: tuple[str, str, str, str] = ("text", "lang", "source", "n_chars"), keep: list[str] | None = None) -> DataFrame:

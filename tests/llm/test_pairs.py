@@ -79,6 +79,33 @@ def test_large_groups_are_split(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == jaccard_groups(rows)
 
 
+def test_repeated_shingles_weigh_against_brute_force(spark):
+    rng = random.Random(12)
+    lines = [text(7, 8000 + i) for i in range(12)]
+    rows = []
+    for g in range(8):  # texts of repeated lines, some with other counts, some with other lines
+        own = rng.sample(lines, 5) + [text(8, 8100 + g)]
+        counts = [rng.choice((1, 2, 9, 40)) for _ in own]
+        for c in range(5):
+            changed = list(counts)
+            if c:
+                changed[rng.randrange(6)] = rng.choice((1, 3, 60))
+            rows.append((10 * g + c, " ".join(" ".join([line] * n) for line, n in zip(own, changed)) + (" " + text(c * 3, 8200 + 10 * g + c) if c > 2 else "")))
+
+    def similar(a, b):
+        found = []
+        for t in (a, b):
+            w = t.split()
+            found.append({k: 1 + np.log(n) for k, n in Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)).items()})
+        both = found[0].keys() | found[1].keys()
+        least, most = (sum(pick(found[0].get(k, 0), found[1].get(k, 0)) for k in both) for pick in (min, max))
+        return max(least / most, len(found[0].keys() & found[1].keys()) / len(both)) >= 0.8
+
+    expected = groups_of([(a, b) for a, s in rows for b, t in rows if b < a and similar(s, t)], [i for i, _ in rows])
+    got = near_texts.near_duplicates(spark.createDataFrame(rows, "kept long, text string"), "kept", "text").collect()
+    assert {r["kept_"]: r.class_id for r in got} == expected and 8 < len(set(expected.values())) < 40
+
+
 def test_one_row_of_each_group_stays(spark):
     t = text(50, 1)
     rows = [(1, t, "a"), (1, t, "a"), (1, t, "b"), (2, t, "c"), (3, edited(t, 1, 3), "d"), (3, text(50, 9), "e"), (None, text(50, 10), "f"), (4, None, "g"), (5, "", "h")]
@@ -152,6 +179,28 @@ def test_near_vectors_against_brute_force(spark, block):
     assert vectors.near_vectors(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("n, common", [(4000, 2.5), (50_000, 0.0)])
+def test_recall_of_links_at_the_threshold(spark, n, common):
+    """Planted pairs just above the threshold; with a common direction the mean cosine is about 0.86."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, 32)) / np.sqrt(32)
+    base[:, 0] += common
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.normal(size=(500, 32))
+    noise -= (noise * base[:500]).sum(axis=1, keepdims=True) * base[:500]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = np.vstack([base, 0.953 * base[:500] + np.sqrt(1 - 0.953**2) * noise]).astype(np.float32)
+    own = spark.createDataFrame(pa.table({"n_links": np.arange(len(rows)), "v": pa.array(list(rows), pa.list_(pa.float32()))}))
+    got = vectors.near_vectors(own, "n_links", "v")
+    assert got.columns == ["n_links_", "n_links", "component_id", "kept"]
+    found = sum(r["n_links"] for r in got.collect())
+    units = rows.astype(np.float64) / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)
+    true = sum(int((units[i : i + 1000] @ units.T >= 0.95).sum()) for i in range(0, len(units), 1000)) - len(units)
+    assert true >= 1000 and 0.98 * true <= found <= true
+    if n < 5000:
+        assert sum(r["n_links"] for r in vectors.near_vectors(own, "n_links", "v", exact=True).collect()) == true
+
+
 def edit_distance_within(passage, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(passage, 1):
