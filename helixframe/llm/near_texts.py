@@ -4,8 +4,9 @@ Every element of a weighted set owns an endless, hashed sequence of darts over i
 keeps the darts that land below an element's weight and before a limit on their rank, and in each of
 ``COORDINATES`` coordinates the earliest. Two sets agree in a coordinate with a chance equal to
 their weighted Jaccard similarity, and the work is in proportion to darts, not to coordinates times
-elements. Rows whose signatures agree in a band become candidates; candidates are joined up by the
-share of agreeing coordinates, and the clusters so found are verified on their shingles.
+elements. A shingle weighs 1 plus the logarithm of its count in the text. Rows whose signatures agree
+in a band become candidates; candidates are joined up by the share of agreeing coordinates, and the
+clusters so found are verified on their shingles.
 
 Equal texts are one class from the start. No stage emits all pairs of a group: groups give forests.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, links_in_groups, spanning_links
-from .shared import free_name, saved, slices
+from .shared import dropped, free_name, saved, slices
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
@@ -125,7 +126,12 @@ def dart_signatures(elements: list[np.ndarray], weights: list[np.ndarray], coord
     return out
 
 
-def _signed(docs: DataFrame, text: str, weighted: bool) -> DataFrame:
+def damped(counts: np.ndarray) -> np.ndarray:
+    """Weights of shingles by their counts in a text."""
+    return 1 + np.log(counts)
+
+
+def _signed(docs: DataFrame, text: str) -> DataFrame:
     """Signature rows: the class of the text, its bands (64-bit keys) and one byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +141,7 @@ def _signed(docs: DataFrame, text: str, weighted: bool) -> DataFrame:
             bands: list = [None] * len(sets)
             brief: list = [None] * len(sets)
             if at:
-                darts = dart_signatures([sets[i][0] for i in at], [sets[i][1] if weighted else np.ones(len(sets[i][0])) for i in at])
+                darts = dart_signatures([sets[i][0] for i in at], [damped(sets[i][1]) for i in at])
                 keys = np.zeros((len(at), BANDS), np.uint64)
                 for r in range(ROWS):
                     keys = mixed(keys * np.uint64(STEP) + darts[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
@@ -189,12 +195,23 @@ def _first_links(same: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether the Jaccard similarity of two sets of shingles, plain or weighted, is ``SIMILAR`` or more."""
+    sizes = [(len(a[0]), len(b[0])), (a[1].sum(), b[1].sum())]
+    if all(min(pair) < SIMILAR * max(pair) for pair in sizes):
+        return False
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = (len(i), np.minimum(a[1][i], b[1][j]).sum())
+    return any(own >= SIMILAR * (sum(pair) - own) * (1 - 1e-12) for pair, own in zip(sizes, shared, strict=True))
+
+
 def _similar(left: pa.Table, right: pa.Table | None) -> list[tuple[int, int]]:
-    """Kernel of ``links_in_groups`` on whole shingle sets: pairs of ``SIMILAR`` or more, as a forest."""
-    sets = [np.frombuffer(x, np.uint64) for x in left.column("set").to_pylist()]
-    n = len(sets)
-    if right is not None:
-        sets += [np.frombuffer(x, np.uint64) for x in right.column("set").to_pylist()]
+    """Kernel of ``links_in_groups`` on whole shingle sets: pairs that are ``alike``, as a forest."""
+    n = left.num_rows
+    sets = []
+    for table in (left, right) if right is not None else (left,):
+        for names, counts in zip(table.column("set").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            sets.append((np.frombuffer(names, np.uint64), damped(np.frombuffer(counts, np.float64))))
     root = list(range(len(sets)))
 
     def top(i: int) -> int:
@@ -207,33 +224,28 @@ def _similar(left: pa.Table, right: pa.Table | None) -> list[tuple[int, int]]:
     for i in range(n):
         for j in range(i + 1 if right is None else n, len(sets)):
             a, b = top(i), top(j)
-            if a == b:
-                continue
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if small < SIMILAR * large:
-                continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if shared >= SIMILAR * (small + large - shared):
+            if a != b and alike(sets[i], sets[j]):
                 root[max(a, b)] = min(a, b)
                 out.append((i, j if right is None else j - n))
     return out
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, _cls, _component, class_id, kept, copies)``: one row for each distinct key and text.
 
-    Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8;
+    Texts are linked if the Jaccard similarity of their five-word shingles is at least 0.8, weighted by
+    damped counts or as plain sets (the same where no shingle repeats);
     ``class_id`` is the smallest key that links and equal texts reach, ``kept`` marks the row of that
     key, and ``copies`` counts the input rows of the key and text. ``_cls`` is the md5
-    of the text, ``_component`` the smallest digest of its group.
+    of the text, ``_component`` a digest that all of its group share.
 
     Texts without words (null, empty, blank) are linked only with texts equal to them, null counting
-    as empty. A null key is never the smallest unless all of its class are null. ``weighted`` draws
-    signatures by the counts of shingles instead of their sets. Very long texts are used whole.
+    as empty. A null key is never the smallest unless all of its class are null. Very long texts are
+    used whole. A key named like one of the other columns returned gets an underscore behind its name.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     given = docs.select(F.col(key).alias("_key"), F.unhex(F.md5(body)).alias("cls"), body.alias("_text"))
-    signed = saved(_signed(given, "_text", weighted))
+    signed = saved(_signed(given, "_text"))
     rows = signed.groupBy("_key", "cls").agg(F.count("*").alias("copies"))
     classes = saved(signed.groupBy("cls").agg(F.min("_key").alias("low"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
 
@@ -242,6 +254,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, weighted: bool = False
     shared = saved(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = saved(banded.join(shared, "key").join(classes.select(F.col("cls").alias("id"), "sig"), "id").select("key", "n", "id", "sig"))
     clusters = saved(connected_components(links_in_groups(members, _agreeing, BLOCK)))
+    dropped(shared, members)
 
     # The texts of clusters once more, each class by one of its rows, as whole shingle sets.
     sizes = saved(clusters.groupBy("component").agg(F.count("*").alias("n")))
@@ -250,18 +263,21 @@ def near_duplicates(docs: DataFrame, key: str, text: str, weighted: bool = False
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found = [shingles(x)[0].tobytes() for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("id"), pa.array(found, pa.binary())], ["key", "n", "id", "set"])
+            found = [[part.tobytes() for part in shingles(x)] for x in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("id"), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], ["key", "n", "id", "set", "counts"])
 
-    exact = saved(texts.mapInArrow(sets, "key binary, n long, id binary, set binary").dropDuplicates(["id"]))
+    exact = saved(texts.mapInArrow(sets, "key binary, n long, id binary, set binary, counts binary").dropDuplicates(["id"]))
+    dropped(clusters, sizes)
     linked = connected_components(links_in_groups(exact, _similar, EXACT_BLOCK))
 
     named = classes.select("cls", "low").join(linked, F.col("cls") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cls"))
     named = saved(named.select("cls", "low", "component"))
+    dropped(exact)
     lows = saved(named.groupBy("component").agg(F.min("low").alias("class_id")))
     known = named.join(lows, "component").select("cls", F.col("component").alias("_component"), "class_id")
     out = rows.join(known, "cls")
-    return out.select(F.col("_key").alias(key), F.col("cls").alias("_cls"), "_component", "class_id", F.col("_key").eqNullSafe(F.col("class_id")).alias("kept"), "copies")
+    own = key + "_" if key.lower() in ("_cls", "_component", "class_id", "kept", "copies") else key
+    return out.select(F.col("_key").alias(own), F.col("cls").alias("_cls"), "_component", "class_id", F.col("_key").eqNullSafe(F.col("class_id")).alias("kept"), "copies")
 
 
 def without_near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -273,7 +289,7 @@ def without_near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     own, cls = free_name(docs, "_key"), free_name(docs, "_cls")
     found = near_duplicates(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", "t")
     found = saved(found.select(F.col("k").alias(own), F.col("_cls").alias(cls), "_component", "kept", "copies"))
-    first = found.where("kept").groupBy("_component").agg(F.min(cls).alias("_first"))
+    first = saved(found.where("kept").groupBy("_component").agg(F.min(cls).alias("_first")))
     marked = found.join(first, "_component").withColumn("kept", F.col("kept") & (F.col(cls) == F.col("_first"))).where("not kept or copies > 1")
     gone = free_name(docs, "_gone")
     marked = saved(marked.select(own, cls, (~F.col("kept")).alias(gone)))
