@@ -50,6 +50,21 @@ CHISQ = """cc AS (SELECT contig_id, frame, c, count(*) AS cnt FROM (SELECT conti
   bf AS (SELECT contig_id, arg_max(frame, h * 10 - frame * 1e-12) AS frame FROM fh GROUP BY contig_id),
   chi AS (SELECT contig_id, frame, sum((cnt - pooled / total * n) ** 2 / (pooled / total * n)) AS chisq FROM ct JOIN bf USING (contig_id, frame) GROUP BY ALL)"""
 
+def _known(source: str) -> str:
+    """``rk``, the reference's windows, and ``h``: windows of a table of contigs and those among them."""
+    return f"""rk AS (SELECT DISTINCT kmer FROM ({_kmers(f"(SELECT seq FROM reference UNION ALL SELECT {_rc('seq')} FROM reference)", 21, '1 AS one')})),
+      h AS (SELECT contig_id, count(*) AS n_kmers, count(rk.kmer) AS hits FROM ({_kmers(source, 21, 'contig_id')}) LEFT JOIN rk USING (kmer) GROUP BY contig_id)"""
+
+
+SAS = f"""k AS MATERIALIZED (SELECT DISTINCT contig_id, kmer FROM ({_kmers('(SELECT * FROM planted WHERE length(seq) >= 150)', 21, 'contig_id')})),
+      n AS (SELECT contig_id, count(*) AS n FROM k GROUP BY contig_id),
+      s AS (SELECT a.contig_id AS sense, b.contig_id AS antisense, count(*) AS shared FROM k a JOIN (SELECT contig_id, {_rc('kmer')} AS kmer FROM k) b ON a.kmer = b.kmer AND a.contig_id < b.contig_id GROUP BY ALL),
+      sas AS MATERIALIZED (SELECT sense, antisense, shared, x.n AS n_sense, y.n AS n_antisense FROM s JOIN n x ON x.contig_id = sense JOIN n y ON y.contig_id = antisense WHERE shared >= 0.3 * least(x.n, y.n))"""
+EITHER = f"""{SAS}, w AS (SELECT contig_id, length(seq) AS n, right(seq, 16) AS tail, seq, unnest(range(1, length(seq) - 15)) AS i FROM planted WHERE length(seq) >= 32),
+      m AS (SELECT contig_id, n - (max(i) - 1 + 16) AS u FROM w WHERE hamming(substr(seq, i::INT, 16), tail) <= 1 GROUP BY contig_id, n),
+      c AS (SELECT contig_id, seq, CASE WHEN u >= 16 THEN u END AS unit, contig_id IN (SELECT sense FROM sas UNION ALL SELECT antisense FROM sas) AS has_sas FROM planted LEFT JOIN m USING (contig_id)),
+      q AS MATERIALIZED (SELECT contig_id, unit, coalesce(unit BETWEEN 150 AND 2500, false) AS circular, has_sas, coalesce(unit BETWEEN 150 AND 2500, false) OR has_sas AND length(seq) BETWEEN 150 AND 2500 AS qualifies,
+        CASE WHEN unit BETWEEN 150 AND 2500 THEN left(seq, unit::INT) ELSE seq END AS seq FROM c)"""
 SCORED = "scored AS (SELECT doc_id, quality = 1 AS truth, n_chars AS score, n_chars >= 1500 AS called, source, toxic FROM documents JOIN labels USING (doc_id))"
 RUNS = """runs AS (SELECT event_id, split_part(event_type, '-', 1) AS kind,
     (['RNA-Seq', 'AMPLICON', ' miRNA-seq ', 'WGS', '', NULL])[(event_id % 6)::INT + 1] AS strategy,
@@ -85,6 +100,31 @@ ORACLES = {
       n AS (SELECT contig_id, count(*) AS n FROM k GROUP BY contig_id),
       s AS (SELECT a.contig_id AS sense, b.contig_id AS antisense, count(*) AS shared FROM k a JOIN (SELECT contig_id, {_rc('kmer')} AS kmer FROM k) b ON a.kmer = b.kmer AND a.contig_id < b.contig_id GROUP BY ALL)
       SELECT sense, antisense, shared, x.n AS n_sense, y.n AS n_antisense FROM s JOIN n x ON x.contig_id = sense JOIN n y ON y.contig_id = antisense WHERE shared >= 0.3 * least(x.n, y.n)""",
+    "sas_pairs_ranked": f"""WITH {PLANTED}, {SAS} SELECT sense, antisense, floor(round(shared / least(n_sense, n_antisense), 4) * 1e4 + 0.5)::BIGINT AS fraction_e4, greatest(sense % 97, antisense % 97) / 4 AS coverage FROM sas""",
+    "either_axis": f"WITH {PLANTED}, {EITHER} SELECT contig_id, circular, has_sas, qualifies, md5(seq) AS monomer_md5 FROM q",
+    "hunt_candidates": f"""WITH {PLANTED}, {EITHER}, {REFERENCE}, {_known('q')},
+      o AS (WITH contigs AS (SELECT contig_id, seq FROM q WHERE qualifies), {ORFS}, {CHISQ}, l AS (SELECT contig_id, max((z - a + 1) * 3) AS orf FROM orfs GROUP BY contig_id)
+        SELECT contig_id, coalesce(orf, 0)::BIGINT AS longest_orf_nt, floor((0.5 * (1 - CASE WHEN length(seq) = 0 THEN 0 ELSE least(1, coalesce(orf, 0) / length(seq)) END) + 0.5 * (1 - coalesce(chisq, 0) / (coalesce(chisq, 0) + 50))) * 1e6 + 0.5)::BIGINT AS orphan_e6
+        FROM contigs LEFT JOIN l USING (contig_id) LEFT JOIN chi USING (contig_id)),
+      v AS (SELECT contig_id, CASE WHEN coalesce(n_kmers, 0) > 0 AND hits * 10 >= n_kmers THEN 'known' WHEN unit IS NULL AND NOT has_sas THEN 'not circular or paired' WHEN NOT qualifies THEN 'size' ELSE 'candidate' END AS verdict,
+        floor(coalesce(hits / n_kmers, 0) * 1e6 + 0.5)::BIGINT AS known_e6 FROM q LEFT JOIN h USING (contig_id))
+      SELECT contig_id, verdict, known_e6, longest_orf_nt, orphan_e6, verdict = 'candidate' AS shortlisted FROM v LEFT JOIN o USING (contig_id)""",
+    "circular_rates": f"""WITH {CONTIGS}, planted AS (SELECT contig_id, source AS kind, seq FROM contigs), {CIRCULAR}
+      SELECT kind AS source, count(*) AS n_contigs, count(unit) AS n_circular, floor(count(unit) / count(*) * 1e9 + 0.5)::BIGINT AS rate_e9 FROM units GROUP BY ROLLUP (kind)""",
+    "contig_traits": f"""WITH {CONTIGS}, planted AS (SELECT contig_id, 0 AS kind, seq FROM contigs), {CIRCULAR}, {ORFS}, {CHISQ},
+      f AS (SELECT contig_id, z - a AS aa, strand, frame, a * 3 + frame AS nt FROM orfs), r AS (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY aa DESC, strand DESC, frame DESC, nt DESC) AS pos FROM f),
+      t AS (SELECT contig_id, count(*) AS n_orfs, string_agg(CASE WHEN pos <= 5 THEN aa || '/' || strand || '/' || frame || '/' || nt END, ',' ORDER BY pos) AS top_orfs, (max(aa) + 1) * 3 AS orf FROM r GROUP BY contig_id)
+      SELECT c.contig_id, length(regexp_replace(c.seq, '[^GC]', '', 'g')) AS gc, unit IS NOT NULL AS is_circular, coalesce(unit, 0)::BIGINT AS unit_length, coalesce(n_orfs, 0) AS n_orfs, coalesce(top_orfs, '') AS top_orfs,
+        floor((0.5 * (1 - CASE WHEN length(c.seq) = 0 THEN 0 ELSE least(1, coalesce(orf, 0) / length(c.seq)) END) + 0.5 * (1 - coalesce(chisq, 0) / (coalesce(chisq, 0) + 50))) * 1e6 + 0.5)::BIGINT AS orphan_e6
+      FROM contigs c JOIN units USING (contig_id) LEFT JOIN t USING (contig_id) LEFT JOIN chi ON chi.contig_id = c.contig_id""",
+    "calibrate_report": f"""WITH {SCORED}, p AS (SELECT *, (score % 997 + 1) ** 2 / 2e6 AS p FROM scored), k AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS n FROM p),
+      q AS (SELECT *, coalesce(least(1.0, min(p * n / rk) OVER (ORDER BY p DESC, rk DESC ROWS UNBOUNDED PRECEDING)), 1) <= 0.05 AS reject FROM k),
+      t AS (SELECT *, bool_or(reject) OVER (PARTITION BY p) AS hit FROM q),
+      r AS (SELECT truth, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM scored), u AS (SELECT count(*) FILTER (truth) AS p, count(*) FILTER (NOT truth) AS n, sum(CASE WHEN truth THEN rk END) AS rs FROM r),
+      g AS (SELECT score, count(*) FILTER (truth) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), a AS (SELECT sum(p * cp / cn) / sum(p) AS ap FROM c)
+      SELECT u.p::BIGINT AS positives, u.n::BIGINT AS negatives, floor((rs - u.p * (u.p + 1) / 2) / (u.p * u.n) * 1e9 + 0.5)::BIGINT AS auc_e9, floor(ap * 1e9 + 0.5)::BIGINT AS ap_e9,
+        (SELECT count(*) FROM t WHERE truth AND hit) AS tp, (SELECT count(*) FROM t WHERE NOT truth AND hit) AS fp, (SELECT count(*) FROM t WHERE truth AND NOT hit) AS fn, (SELECT count(*) FROM t WHERE NOT truth AND NOT hit) AS tn,
+        (SELECT count(DISTINCT toxic = 1) FROM t WHERE NOT truth) AS n_kinds, (SELECT count(*) FROM t WHERE NOT truth AND hit) AS false_called FROM u, a""",
     "orf_islands": f"WITH {CONTIGS}, {ORFS} SELECT contig_id, strand, frame, a AS start, z AS stop, ((z - a + 1) * 3)::BIGINT AS orf_nt FROM orfs",
     "orf_longest": f"WITH {CONTIGS}, {ORFS} SELECT contig_id, max((z - a + 1) * 3)::BIGINT AS longest_orf_nt, count(*) AS n_orfs FROM orfs GROUP BY contig_id",
     "codon_chisq": f"WITH {CONTIGS}, {ORFS}, {CHISQ} SELECT contig_id, frame, floor(chisq * 1e4 + 0.5)::BIGINT AS chisq_e4 FROM chi",

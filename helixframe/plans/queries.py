@@ -62,7 +62,7 @@ def concatemer_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reference(spark: SparkSession, d: str) -> DataFrame:
-    return kmer_ops.reference_kmers(reference(spark, d), 21)
+    return kmer_ops.reference_kmers(reference(spark, d), 21, as_text=False)
 
 
 def reference_kmer_screen(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +82,48 @@ def sas_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"n_sense": F.col("n_sense").cast("long"), "n_antisense": F.col("n_antisense").cast("long")})
 
 
+def sas_pairs_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Antisense pairs with the share of the smaller set and a stand-in coverage, the best covered first."""
+    rows = planted(spark, d)
+    depth = rows.select("contig_id", (F.pmod("contig_id", F.lit(97)) / 4).alias("coverage"))
+    out = kmer_ops.ranked_pairs(kmer_ops.antisense_pairs(rows), depth)
+    return out.select("sense", "antisense", scaled(F.col("fraction"), 4).alias("fraction_e4"), F.greatest("sense_coverage", "antisense_coverage").alias("coverage"))
+
+
+def either_axis(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.qualified(planted(spark, d)).select("contig_id", "circular", "has_sas", "qualifies", F.md5("monomer").alias("monomer_md5"))
+
+
+def hunt_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The hunt's columns by sequence alone: verdict, known share and coding potential of what qualifies."""
+    out = pipelines.signature(planted(spark, d), _reference(spark, d), shuffles=None)
+    return out.select("contig_id", "verdict", scaled(F.col("known_fraction"), 6).alias("known_e6"), F.col("longest_orf_nt").cast("long").alias("longest_orf_nt"), scaled(F.col("orphan_score"), 6).alias("orphan_e6"), "shortlisted")
+
+
+def circular_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs called circular by source and over all (source null): the detector's rate of calls where nothing is planted."""
+    called = circularity.circular_exact(contigs(spark, d))
+    rates = called.rollup("source").agg(F.count("*").alias("n_contigs"), F.count_if("is_circular").alias("n_circular"))
+    return rates.withColumn("rate_e9", scaled(F.col("n_circular") / F.col("n_contigs"), 9))
+
+
+def contig_traits(spark: SparkSession, d: str) -> DataFrame:
+    """``characterise`` without folds: composition, circle, coding potential and the five longest frames of every contig."""
+    out = pipelines.characterise(contigs(spark, d), "contig_id", "seq", shuffles=None)
+    frames = F.array_join(F.transform("top_orfs", lambda o: F.concat_ws("/", o["aa"].cast("string"), o["strand"], o["frame"].cast("string"), o["nt_start"].cast("string"))), ",")
+    return out.select("contig_id", F.round(F.col("gc_content") * F.length("seq")).cast("long").alias("gc"), "is_circular", F.coalesce("unit_length", F.lit(0)).cast("long").alias("unit_length"), F.coalesce("n_orfs", F.lit(0)).alias("n_orfs"), F.coalesce(frames, F.lit("")).alias("top_orfs"), scaled(F.col("orphan_score"), 6).alias("orphan_e6"))
+
+
+def calibrate_report(spark: SparkSession, d: str) -> DataFrame:
+    """Ranking quality and calls under false-discovery control, in one row."""
+    rank = (F.col("n_chars") % 997 + 1).cast("double")
+    rows = _scored(spark, d).join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("t")), "doc_id").select("doc_id", (rank * rank / 2e6).alias("p"), (F.col("quality") == 1).alias("truth"), F.col("n_chars").alias("score"), F.when(F.col("t") == 1, "toxic").alias("kind"))
+    report = pipelines.calibrate(rows, "truth", "p", "score", "kind")
+    false_kinds = report["by_kind"].agg(F.count("*").alias("n_kinds"), F.sum("false_called").alias("false_called"))
+    both = report["ranking"].crossJoin(report["calls"]).crossJoin(false_kinds)  # one row each
+    return both.select("positives", "negatives", scaled(F.col("roc_auc"), 9).alias("auc_e9"), scaled(F.col("average_precision"), 9).alias("ap_e9"), "tp", "fp", "fn", "tn", "n_kinds", "false_called")
+
+
 def orf_islands(spark: SparkSession, d: str) -> DataFrame:
     return coding.orf_islands(contigs(spark, d)).withColumns({c: F.col(c).cast("long") for c in ("start", "stop", "orf_nt")})
 
@@ -109,13 +151,13 @@ def n50_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def debruijn_degree(spark: SparkSession, d: str) -> DataFrame:
-    degrees = kmer_ops.debruijn_degrees(kmer_ops.count_kmers(contigs(spark, d), 21, 2), 21)
+    degrees = kmer_ops.debruijn_degrees(kmer_ops.count_kmers(contigs(spark, d), 21, 2, as_text=False), 21)
     return degrees.groupBy("n_out", "n_in").agg(F.count("*").alias("nodes"), F.sum("cnt").alias("total"))
 
 
 def kmer_mean_coverage(spark: SparkSession, d: str) -> DataFrame:
     rows = contigs(spark, d)
-    return kmer_ops.mean_coverage(rows, kmer_ops.count_kmers(rows, 21, 2), 21)
+    return kmer_ops.mean_coverage(rows, kmer_ops.count_kmers(rows, 21, 2, as_text=False), 21)
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -175,12 +217,16 @@ def circular_cluster(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.reproduce(planted(spark, d), "contig_id").select("contig_id", "cluster_id", "cluster_size")
 
 
-def _banded(spark: SparkSession, d: str) -> DataFrame:
-    return contigs(spark, d).where(F.length("seq").between(10, 1000))
+#: Lengths of contigs that are folded with all their shuffles; a fold's time grows with the cube of the length.
+FOLDED = (10, 400)
+
+
+def _banded(spark: SparkSession, d: str, band: tuple[int, int] = (10, 1000)) -> DataFrame:
+    return contigs(spark, d).where(F.length("seq").between(*band))
 
 
 def structure_zscore(spark: SparkSession, d: str) -> DataFrame:
-    out = fold.structure_stability(_banded(spark, d), "seq", F.xxhash64(F.lit(42), "contig_id"))
+    out = fold.structure_stability(_banded(spark, d, FOLDED), "seq", F.xxhash64(F.lit(42), "contig_id"))
     return out.select("contig_id", "backend", *(F.round(c, 6).alias(c) for c in ("energy", "null_mean", "null_std", "structure_z")))
 
 
@@ -195,7 +241,7 @@ def unitig_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signature_sweep(spark: SparkSession, d: str) -> DataFrame:
-    out = pipelines.sweep(planted(spark, d), "contig_id", "seq")
+    out = pipelines.sweep(planted(spark, d).where(F.length("seq").between(*FOLDED)), "contig_id", "seq")
     return out.select("rep", "cluster_id", "members", "has_sas", "is_circular", "longest_orf_nt", F.round("orphan_score", 6).alias("orphan_score"), F.round("structure_z", 6).alias("structure_z"), F.round("combined_score", 6).alias("combined_score"), F.round("q_value", 6).alias("q_value"), "reject")
 
 
@@ -231,5 +277,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         orphan_score, bh_fdr, n50_by_source, debruijn_degree, kmer_mean_coverage, confusion_fdr_power, roc_auc, average_precision,
         decoy_breakdown, library_verdict, header_parse, dinuc_shuffle_invariants, candidate_triage, circular_cluster, structure_zscore,
         rod_profile, unitig_assembly, signature_sweep, blast_report_hits, event_windows_stream, read_prefix_stream,
+        sas_pairs_ranked, either_axis, hunt_candidates, circular_rates, contig_traits, calibrate_report,
     )
 }
