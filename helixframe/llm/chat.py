@@ -89,8 +89,9 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     Turns go by ``turn`` (null first), then role and text; repeated rows are turns of their own. Null
     roles and texts count as empty, null conversation ids as one conversation. Other columns of the
-    input are left out. Each turn is escaped before the shuffle, and a conversation is one row: it
-    is as long as its turns together.
+    input are left out; a key named like one of the columns returned gets an underscore behind its
+    name. Each turn is escaped before the shuffle, and a conversation is one row: it is as long as its
+    turns together.
     """
     name, body = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     head = F.concat(F.lit(template.other.before), escaped(name, template), F.lit(template.named))
@@ -99,19 +100,20 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         head = F.when(name == known, F.lit(how.before)).otherwise(head)
         tail = F.when(name == known, F.lit(how.after)).otherwise(tail)
         loss = F.when(name == known, F.lit(how.loss)).otherwise(loss)
-    rows = turns.select(F.col(conv).alias(conv), F.struct(F.col(turn).alias("turn"), name.alias("role"), escaped(body, template).alias("body"), head.alias("head"), tail.alias("tail"), loss.alias("loss")).alias("row"))
-    rows = rows.groupBy(conv).agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    own = conv + "_" if conv.lower() in ("formatted", "segments", "valid", "rows", "row") else conv
+    rows = turns.select(F.col(conv).alias(own), F.struct(F.col(turn).alias("turn"), name.alias("role"), body.alias("text"), escaped(body, template).alias("body"), head.alias("head"), tail.alias("tail"), loss.alias("loss")).alias("row"))
+    rows = rows.groupBy(own).agg(F.sort_array(F.collect_list("row")).alias("rows"))
     plain = lambda s: F.struct(s.alias("text"), F.lit(False).alias("loss"))
     segments = F.flatten(F.transform("rows", lambda r: F.array(plain(r["head"]), F.struct(r["body"].alias("text"), r["loss"].alias("loss")), plain(r["tail"]))))
     segments = F.concat(F.array(plain(F.lit(template.begin))), segments)
     steps = F.create_map(*(F.lit(x) for state, nexts in template.order.items() for r, to in nexts.items() for x in (f"{state}\n{r}", to)))
     state = F.aggregate(F.transform("rows", lambda r: r["role"]), F.lit(template.start), lambda s, r: F.coalesce(F.try_element_at(steps, F.concat(s, F.lit("\n"), r)), F.lit("error")))
-    out = rows.select(conv, segments.alias("segments"), state.isin(list(template.final)).alias("valid"))
-    return out.select(conv, F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "valid")
+    out = rows.select(own, "rows", state.isin(list(template.final)).alias("valid"))
+    return out.select(own, F.array_join(F.transform(segments, lambda s: s["text"]), "").alias("formatted"), segments.alias("segments"), "valid")
 
 
 def read_back(formatted: Column, template: Template = BRACKETS) -> Column:
-    """The turns of a formatted conversation: an array of (role, text), unescaped."""
+    """The turns of a formatted conversation: an array of (role, text, loss), unescaped."""
     known = [(r, re.escape(t.before), re.escape(t.after)) for r, t in template.roles.items()]
     rest = (re.escape(template.other.before), re.escape(template.named), re.escape(template.other.after))
     each = "(?s)(?:" + "|".join([*(f"{b}.*?{a}" for _, b, a in known), f"{rest[0]}.*?{rest[2]}"]) + ")"
@@ -121,10 +123,11 @@ def read_back(formatted: Column, template: Template = BRACKETS) -> Column:
         named = F.instr(s, template.named)
         role = unescaped(F.substring(s, len(template.other.before) + 1, named - len(template.other.before) - 1))
         text = F.substring(s, named + len(template.named), F.length(s) - named - len(template.named) + 1 - len(template.other.after))
+        loss = F.lit(template.other.loss)
         for r, t in template.roles.items():
             mine = F.startswith(s, F.lit(t.before))
-            role = F.when(mine, F.lit(r)).otherwise(role)
+            role, loss = F.when(mine, F.lit(r)).otherwise(role), F.when(mine, F.lit(t.loss)).otherwise(loss)
             text = F.when(mine, F.substring(s, len(t.before) + 1, F.length(s) - len(t.before) - len(t.after))).otherwise(text)
-        return F.struct(role.alias("role"), unescaped(text).alias("text"))
+        return F.struct(role.alias("role"), unescaped(text).alias("text"), loss.alias("loss"))
 
     return F.transform(whole, turn)

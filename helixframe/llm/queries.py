@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_chats, read_back, unescaped
+from .chat import format_chats, read_back
 from .decontamination import find_passages
 from .html_text import extract_text
 from .near_texts import near_duplicates
@@ -33,44 +33,52 @@ SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assi
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts for every row of ``pages`` under the five rules; null urls and such without ``://`` have empty parts and are allowed."""
     out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), "url", spark.sql(URL_RULES))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, quality_score, accepted)`` for every document, repeated ids and null texts included; fitted on ``labels``."""
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model, keep=["doc_id"])
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text for every document (null texts are empty: the end id alone), and whether the spans tile the text."""
     out = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", MODEL_PATH)
     tiled = (F.element_at("begins", 1) == 0) & (F.element_at("ends", -1) == F.octet_length(F.coalesce("text", F.lit(""))))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), tiled.alias("spans_cover_text"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document under the vocabulary of the model file (``token_counts`` says which probabilities); 0 for null and empty texts."""
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", MODEL_PATH).select("doc_id", "n_tokens", "n_pretokens")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text; the loss mask covers the turns whose role the template counts."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     chats = format_chats(given.union(spark.sql(PLANTED_CHAT)))
-    lossy = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
-    read = chats.select("conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted")).alias("turns"), lossy.alias("lossy"))
+    read = chats.select("conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted")).alias("turns"))
+    read = read.withColumn("lossy", F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), ""))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("lossy").cast("long").alias("loss_chars"), F.sha2("lossy", 256).alias("loss_sha256"), "formatted_chars", "valid")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; "" for null, empty and text-free pages."""
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all rows of ``embeddings``; invalid vectors stand alone."""
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item found in each document; documents with none have no row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_passages(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text", keep=["doc_id"])
     hit = found.select("doc_id", F.explode("hits").alias("h"))
@@ -78,11 +86,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each distinct (doc_id, text) with its group and how many input rows it stands for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, "doc_id", "text").select("doc_id", "class_id", "kept", "copies")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row by the law ``key``; sizes are UTF-8 bytes of the whole text plus 8, null texts count none."""
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     out = assign_shards(docs, "doc_id", tree(24), tree(25))
@@ -102,7 +112,28 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
+#: The shards of ``tree(24)`` by region, rack and place, as SQL: names and weights of the children at each level.
+_REGIONS, _RACKS, _PLACES = [("g0", 12), ("g1", 12)], [(f"k{i}", 4) for i in range(3)], [(str(i), 1) for i in range(4)]
+
+
+def _least(path: str, children: list[tuple[str, int]]) -> str:
+    """The child of ``path`` with the smallest draw of key ``k``."""
+    draw = "-ln((('0x' || substr(md5(k || {} || ':{}'), 1, 13))::UBIGINT + 0.5) / 4503599627370496.0) / {}"
+    return f"list_min([{', '.join('{d: ' + draw.format(path, name, float(w)) + ', n: ' + repr(name) + '}' for name, w in children)}]).n"
+
+
 ORACLES = {
+    # The table of CRC-32 follows from its polynomial; slots count in the order of the file.
+    "op10_sharding": f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id::VARCHAR, chr(0) || 'null') AS k, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT rid, doc_id, k, octet_length(b) + 8 AS size, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+r AS (SELECT *, '/' || {_least("''", _REGIONS)} AS p1, {_least("''", [*_REGIONS, ("s24", 1)])} = 's24' AS moved FROM s),
+q AS (SELECT *, p1 || '/' || {_least('p1', _RACKS)} AS p2 FROM r),
+l AS (SELECT *, (substr(p2, 3, 1)::INT * 12 + substr(p2, 6, 1)::INT * 4 + {_least('p2', _PLACES)}::INT)::INT AS shard FROM q)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY rid) - 1 AS slot, CASE WHEN moved THEN 24 ELSE shard END::INT AS grown_shard FROM l
+""",
     "op1_url_filter": """
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),

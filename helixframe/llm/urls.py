@@ -3,23 +3,31 @@
 Listed canonical URLs (host and path, an optional action) are hashed into a blocked Bloom filter:
 a key sets ``PROBES`` bits inside one block of 256 bits, kept as four longs. The keys that a page's
 url could match are tested there first; only possible hits go on to an exact hash join with the
-list, which removes the false positives. Verdicts are found once for each distinct url and joined
-back, so a host or url that fills a third of the table costs no more than any other.
+list, which removes the false positives. The filter is broadcast in bounded pieces, so that rows that
+cannot match are turned away where they are read. A short list of few shapes is joined there too, and
+no row is shuffled; else verdicts are found once for each distinct url and joined back, so a host or
+url that fills a third of the table costs no more than any other.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import free_name, saved
 
 PROBES = 8
 WORDS = 4
-#: Filters and lists of up to so many entries are broadcast (16 MB at most); longer ones are joined by key.
+#: Lists of up to so many entries are broadcast (16 MB at most); of longer ones the possible hits are joined by key.
 BROADCAST_RULES = 100_000
+#: Blocks of the filter in one broadcast (10 MB), and such pieces at most; a larger filter is joined by block.
+PIECE, PIECES = 250_000, 64
+#: Shapes of a short list that are looked up side by side.
+NARROW = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,17 +92,52 @@ def filter_urls(pages: DataFrame, url: str, rules: DataFrame, default: str = "al
 
     blocks = max(1, math.ceil(count * 16 / 256))
     bloom = bloom_filter(listed, "rule", blocks)
+    if few and len(shapes) <= NARROW:
+        return _looked_up(given, names, listed, bloom, blocks, shapes, default)
     parts = F.split("h", "\\.")
-    candidates = F.array(*(F.when((F.size(parts) >= labels) & (F.length("p") >= chars), F.concat(F.array_join(F.slice(parts, -labels, labels), "."), F.substring("p", 1, chars))) for labels, chars in shapes))
+    candidates = F.array(*(_candidate(parts, F.col("p"), *shape) for shape in shapes))
     probes = pages.select(F.col(url).alias("u")).where("u IS NOT NULL").distinct().select("u", host_and_path(F.col("u"))[0].alias("h"), host_and_path(F.col("u"))[1].alias("p"))
     probes = probes.select("u", F.explode(F.array_compact(candidates)).alias("key"))
     block, bits = _place(F.col("key"), blocks)
-    probes = probes.withColumn("block", block).join(F.broadcast(bloom) if few else bloom, "block")
-    possible = probes
-    for w in range(WORDS):
-        mask = _mask(bits, w)
-        possible = possible.where(F.col(f"word{w}").bitwiseAND(mask) == mask)
+    probes = probes.withColumn("block", block)
+    pieces = math.ceil(blocks / PIECE)
+    if pieces <= PIECES:
+        bloom = saved(bloom)
+        cut = [probes.where(F.col("block").between(i * PIECE, (i + 1) * PIECE - 1)).join(F.broadcast(bloom.where(F.col("block").between(i * PIECE, (i + 1) * PIECE - 1))), "block") for i in range(pieces)]
+        probes = reduce(DataFrame.unionByName, cut)
+    else:
+        probes = probes.join(bloom, "block")
+    possible = probes.where(_all_set(bits, F.col))
     exact = possible.select("u", "key").join(F.broadcast(listed) if few else listed, F.col("key") == F.col("rule"))
     best = exact.groupBy("u").agg(F.max(F.struct(F.length("rule").alias("l"), "host_chars", "rule", "action")).alias("best"))
     out = given.join(best, F.col(url) == F.col("u"), "left")
     return out.select(*given.columns, F.col("best.rule").alias(names["rule"]), F.coalesce("best.action", F.lit(default)).alias(names["verdict"]))
+
+
+def _candidate(parts: Column, path: Column, labels: int, chars: int) -> Column:
+    """The key of a shape that a url could match: its last labels and the first characters of its path; null if it is too short."""
+    return F.when((F.size(parts) >= labels) & (F.length(path) >= chars), F.concat(F.array_join(F.slice(parts, -labels, labels), "."), F.substring(path, 1, chars)))
+
+
+def _all_set(bits: list[Column], word: Callable[[str], Column]) -> Column:
+    """Whether a block's words hold all bits of a key."""
+    return reduce(lambda a, b: a & b, (word(f"word{w}").bitwiseAND(_mask(bits, w)) == _mask(bits, w) for w in range(WORDS)))
+
+
+def _looked_up(given: DataFrame, names: dict[str, str], listed: DataFrame, bloom: DataFrame, blocks: int, shapes: list[tuple[int, int]], default: str) -> DataFrame:
+    """One pass over the rows: for each shape the filter's block and then, for possible hits, the rule, both broadcast."""
+    own = "_u"  # no input column begins so
+    while any(c.lower().startswith(own) for c in given.columns):
+        own += "_"
+    hits, key, hit, rule = (own + x for x in ("hits", "key", "hit", "rule"))
+    blooms = bloom.toDF(*(own + c for c in bloom.columns))
+    rules = listed.select(F.struct(F.length("rule").alias("l"), "host_chars", "rule", "action").alias(hit), F.col("rule").alias(rule))
+    out = given.withColumn(hits, F.array().cast("array<struct<l:int,host_chars:int,rule:string,action:string>>"))
+    for shape in shapes:
+        block, bits = _place(F.col(key), blocks)
+        tried = out.withColumn(key, _candidate(F.split(names["host"], "\\."), F.col(names["path"]), *shape))
+        tested = tried.join(F.broadcast(blooms), block == F.col(own + "block"), "left").select(*out.columns, F.when(_all_set(bits, lambda w: F.col(own + w)), F.col(key)).alias(key))
+        found = tested.join(F.broadcast(rules), F.col(key) == F.col(rule), "left")
+        out = found.select(*given.columns, F.when(F.col(rule).isNotNull(), F.array_append(hits, F.col(hit))).otherwise(F.col(hits)).alias(hits))
+    best = F.array_max(hits)
+    return out.select(*given.columns, best["rule"].alias(names["rule"]), F.coalesce(best["action"], F.lit(default)).alias(names["verdict"]))

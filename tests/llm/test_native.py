@@ -45,6 +45,20 @@ def test_many_rules_by_shuffled_joins(spark, monkeypatch):
     assert judged(spark, given, rules) == [brute(u, rules) for u in given]
 
 
+def test_bloom_pieces_and_side_by_side_lookups(spark, monkeypatch):
+    rules = [("block", f"h{i}.org", f"/p{i % 7}/") for i in range(300)]
+    given = [f"http://s.h{i}.org/p{i % 5}/x" for i in range(300)] + URLS
+    expected = [brute(u, rules) for u in given]
+    for name, value in (("NARROW", 0), ("PIECE", 3), ("PIECES", 1)):  # exploded, cut in pieces, joined by block
+        monkeypatch.setattr(urls, name, value)
+        assert judged(spark, given, rules) == expected
+    pages = spark.createDataFrame([("http://a.com/",)], "url string")
+    monkeypatch.undo()
+    plan = filter_urls(pages, "url", spark.createDataFrame([("block", "com", "/")], "action string, host string, path string"))._jdf.queryExecution().executedPlan().toString()
+    rows = plan[plan.index("_uhits") :]
+    assert "BroadcastHashJoin" in rows and "SortMergeJoin" not in rows
+
+
 def test_no_rules_null_rules_and_clashing_names(spark):
     assert judged(spark, ["http://a.com/"], []) == [("a.com", "/", None, "allow")]
     assert judged(spark, ["http://a.com/"], [("block", None, "/"), (None, "com", "/")])[0][2:] == (None, "allow")
@@ -89,6 +103,12 @@ def test_chats_read_back(spark):
     assert {k: r.valid for k, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: False, None: False, 6: True}
 
 
+def test_keys_named_like_added_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "valid long, turn long, role string, text string")
+    got = chat.format_chats(df, conv="valid").first()
+    assert got["valid_"] == 1 and got["valid"] is True
+
+
 def test_ambiguous_templates_are_refused():
     turn = chat.Turn("[A]", "[/A]")
     with pytest.raises(ValueError):
