@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
+from urllib.parse import urlsplit
+from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,15 +85,9 @@ class FastqReader(DataSourceReader):
         return [FilePart(p) for p in self.paths]
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
-        import pyarrow.fs as fs
-
-        if "://" in partition.path:
-            files, path = fs.FileSystem.from_uri(partition.path)
-        else:
-            files, path = fs.LocalFileSystem(), partition.path
         found = 0
-        with files.open_input_stream(path, compression=None) as raw:
-            stream = gzip.open(raw) if path.endswith(".gz") else raw
+        with _opened(partition.path) as raw:
+            stream = gzip.open(raw) if urlsplit(partition.path).path.endswith(".gz") else raw
             try:
                 for i, line in enumerate(io.TextIOWrapper(io.BufferedReader(stream), errors="replace")):
                     if i % 4 == 1:
@@ -103,6 +100,16 @@ class FastqReader(DataSourceReader):
                     raise
 
 
+def _opened(path: str):
+    """A byte stream of a file: over http(s) as the reader goes on, so that a limit ends the transfer, else through Arrow's file systems."""
+    import pyarrow.fs as fs
+
+    if re.match("https?://", path):
+        return urlopen(path, timeout=300)
+    files, path = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return files.open_input_stream(path, compression=None)
+
+
 def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSource)
 
@@ -113,8 +120,27 @@ def read_fastq(spark: SparkSession, paths: list[str], limit: int = 0, min_useful
     return spark.read.format("fastq").option("paths", ",".join(paths)).option("limit", limit).option("min_useful", min_useful).load()
 
 
+def _size(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a file or folder on whatever file system the path names, or None if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(at).getLength() if files.exists(at) else None
+
+
+def read_reference(spark: SparkSession, path: str, least: int = 1000) -> DataFrame:
+    """As ``read_fasta``, of a cached reference; no rows where the file is absent or holds ``least`` bytes or fewer.
+
+    An empty reference screens nothing out, so what depends on it goes on without.
+    """
+    if (_size(spark, path) or 0) > least:
+        return read_fasta(spark, path)
+    return spark.createDataFrame([], "id string, name string, seq string, n int, coverage double, path string")
+
+
 def read_accessions(spark: SparkSession, path: str) -> DataFrame:
-    """One ``accession`` for each line that is not blank."""
+    """One ``accession`` for each line that is not blank; where there is no such file, ``path`` itself is the one accession."""
+    if _size(spark, path) is None:
+        return spark.createDataFrame([(path.strip(),)], "accession string")
     return spark.read.text(path).select(F.trim("value").alias("accession")).where("accession <> ''")
 
 
@@ -123,6 +149,12 @@ def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)
 
 
+def with_metadata(accessions: DataFrame, metadata: DataFrame, accession: str = "accession") -> DataFrame:
+    """Every accession with its metadata and ``fetched``: false, and nulls, where the archive gave none."""
+    known = metadata.withColumn("fetched", F.lit(True)).dropDuplicates([accession])
+    return accessions.join(known, accession, "left").fillna({"fetched": False})
+
+
 def run_urls(metadata: DataFrame, accession: str, column: str) -> DataFrame:
     """``(accession, mate, url)``: the semicolon-separated files of each run."""
     parts = metadata.select(accession, F.posexplode(F.split(F.coalesce(column, F.lit("")), ";")).alias("mate", "p")).where("trim(p) <> ''")
@@ -136,6 +168,16 @@ def read_feature_names(spark: SparkSession, path: str, comments: str = "#") -> D
     return rows.select(first.alias("name")).where(~F.col("name").isin("Sequence", "Name") & ~F.startswith("name", F.lit("---"))).distinct()
 
 
+def junction_evidence(alignments: DataFrame, suffix: str = "_junction") -> DataFrame:
+    """``(sseqid, n_reads)``: distinct reads that align to each subject of that name ending."""
+    return alignments.where(F.endswith("sseqid", F.lit(suffix))).groupBy("sseqid").agg(F.count_distinct("qseqid").alias("n_reads"))
+
+
+def write_labels(df: DataFrame, path: str, key: str, label: str) -> None:
+    """Ground truth as JSON lines of ``id`` and ``label``, sorted by id within each file."""
+    df.select(F.col(key).alias("id"), F.col(label).cast("boolean").alias("label")).sortWithinPartitions("id").write.json(path)
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """Tabular alignments without a header, nine columns."""
     return spark.read.csv(path, sep="\t", schema="qseqid string, sseqid string, pident double, length int, qstart int, qend int, sstart int, send int, evalue double")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import STOPS, revcomp
+from helixframe.functions import STOPS, revcomp
 
 LETTERS = np.array(list("ACGT"))
 SENSE = np.array([a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT" if a + b + c not in STOPS])

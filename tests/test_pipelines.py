@@ -1,9 +1,11 @@
 import random
 
+import simulate
 from pyspark.sql import functions as F
 
 from helixframe.functions import register_functions
-from helixframe.operators import identify, simulate
+
+from helixframe.operators import identify
 from helixframe.plans import pipelines
 from helixframe.streaming import drain, kmer_count_stream
 

@@ -1,0 +1,105 @@
+import http.server
+import json
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe.functions import reports
+from helixframe.operators import graph, kmers, ranking
+from helixframe.plans import pipelines
+from helixframe.sources import QueuedSearch, family_hits, job_id, junction_evidence, read_accessions, read_alignments, read_fastq, read_reference, with_metadata, write_labels
+
+
+def test_queued_search_polls_retries_and_fails():
+    asked = []
+
+    def send(url, data):
+        asked.append((url, data))
+        if data is not None:
+            return "x\n    RID = AB12 \nRTOE = 5"
+        if "SearchInfo" in url:
+            if len(asked) == 2:
+                raise OSError("busy")
+            return "Status=READY" if len(asked) > 4 else "Status=WAITING"
+        return "the report"
+
+    slept = []
+    search = QueuedSearch("https://host/q", send, every=1.0, sleep=slept.append)
+    assert search.report("blastn", "nt", "ACGT") == "the report" and asked[0][1]["QUERY"] == ">query\nACGT\n" and "RID=AB12" in asked[-1][0] and 2.0 in slept
+    with pytest.raises(ValueError, match="failed"):
+        QueuedSearch("u", lambda url, data: "RID = A" if data else "Status=FAILED", sleep=slept.append).report("p", "d", "A")
+    with pytest.raises(TimeoutError):
+        QueuedSearch("u", lambda url, data: "RID = A" if data else "Status=WAITING", every=400.0, sleep=slept.append).report("p", "d", "A")
+    with pytest.raises(ValueError, match="request id"):
+        QueuedSearch("u", lambda url, data: "nothing", sleep=slept.append).report("p", "d", "A")
+    assert job_id("a RID = X9 ") == "X9" and job_id("") is None
+
+
+def test_family_hits_of_maps_and_lists(spark):
+    answers = [(1, {"numHits": 3, "hits": {"RF1": [{"score": 1}, {"score": 2}], "RF2": {"score": 3}}}), (2, {"numHits": 1, "hits": [{"id": "RF3", "score": 4}]}), (3, {"numHits": 0, "hits": {}}), (4, {"numHits": 0})]
+    df = spark.createDataFrame([(i, json.dumps(a)) for i, a in answers] + [(5, None)], "id int, answer string")
+    got = {(r.id, r.n_hits, r.family, json.loads(r.hit)["score"]) for r in family_hits(df, "id", "answer").collect()}
+    assert got == {(1, 3, "RF1", 1), (1, 3, "RF1", 2), (1, 3, "RF2", 3), (2, 1, "RF3", 4)}
+
+
+def test_reads_over_http_stop_at_the_limit(spark, tmp_path):
+    text = "".join(f"@r{i}\nACGT{'ACGT'[i % 4] * 20}\n+\nIIII\n" for i in range(500))
+    (tmp_path / "a.fastq").write_text(text)
+    handler = lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert read_fastq(spark, [f"http://127.0.0.1:{server.server_port}/a.fastq"], limit=9).count() == 9
+    finally:
+        server.shutdown()
+
+
+def test_absent_files_and_metadata(spark, tmp_path):
+    assert read_reference(spark, str(tmp_path / "none.fasta")).count() == 0
+    (tmp_path / "small.fasta").write_text(">a\nACGT\n")
+    (tmp_path / "large.fasta").write_text(">a\n" + "ACGT" * 400 + "\n")
+    assert read_reference(spark, str(tmp_path / "small.fasta")).count() == 0 and read_reference(spark, str(tmp_path / "large.fasta")).first().n == 1600
+    assert [r.accession for r in read_accessions(spark, "SRR1").collect()] == ["SRR1"]
+    runs = spark.createDataFrame([("A", "RNA-Seq"), ("A", "RNA-Seq")], "accession string, library_strategy string")
+    got = with_metadata(spark.createDataFrame([("A",), ("B",)], "accession string"), runs).orderBy("accession").collect()
+    assert [(r.accession, r.library_strategy, r.fetched) for r in got] == [("A", "RNA-Seq", True), ("B", None, False)]
+    write_labels(spark.createDataFrame([("x", 1)], "name string, good int"), str(tmp_path / "labels"), "name", "good")
+    assert [r.value for r in spark.read.text(str(tmp_path / "labels")).collect()] == ['{"id":"x","label":true}']
+    (tmp_path / "r.tsv").write_text("".join(f"r{i % 3}\tc1_junction\t99\t90\t1\t90\t1\t90\t1e-9\n" for i in range(5)) + "r9\tc1\t99\t90\t1\t90\t1\t90\t1e-9\n")
+    assert [tuple(r) for r in junction_evidence(read_alignments(spark, str(tmp_path / "r.tsv"))).collect()] == [("c1_junction", 3)]
+
+
+def test_descriptions(spark):
+    one = spark.createDataFrame([("a", "b", 100, 90, 3.0, 4.6, 0.5)], "sense string, antisense string, n_sense int, n_antisense int, sense_coverage double, antisense_coverage double, fraction double")
+    assert one.select(reports.describe_pair()).first()[0] == "a (100 nt, 3x) <-> b (90 nt, 5x) sharing 50%"
+    rod = spark.createDataFrame([(300, -120.25, -0.401, 0.66, 0.9, 12, True)], "n int, energy double, mfe_per_nt double, paired_fraction double, complexity double, longest_helix int, is_rodlike boolean")
+    assert rod.select(reports.describe_rod()).first()[0] == "len=300 MFE=-120.3 (-0.401/nt) paired=66% complexity=0.90 longest_helix=12 -> rod-like"
+    run = spark.createDataFrame([("R", "", None, "GENOMIC", None)], "accession string, library_strategy string, library_selection string, library_source string, scientific_name string")
+    assert run.select(reports.describe_run()).first()[0] == "R: strategy=? selection=? source=GENOMIC (unknown sample)"
+    prefixes = spark.createDataFrame([(1000, 685, True), (0, 0, False)], "n_reads long, top_reads long, is_amplicon boolean")
+    assert [r[0] for r in prefixes.select(reports.describe_prefixes()).collect()] == ["1000 reads, top 3 5'-20mers cover 68.5% (threshold 20%) -> amplicon-like (primer-dominated)", "no reads examined"]
+    hit = spark.createDataFrame([("A1", "virus", 2e-7, 98.0), ("A2", "x", 0.5, None)], "accession string, description string, evalue double, identity double")
+    assert [r[0] for r in hit.select(reports.describe_hit()).collect()] == ["A1 virus (E=2.0E-7, 98% id)", "A2 x (E=0.5)"]
+
+
+def test_assembly_report_pairs_and_company(spark):
+    import random
+
+    line = "".join(random.Random(5).choices("ACGT", k=400))
+    reads = spark.createDataFrame([(line[i : i + 100],) for i in range(0, 301, 2) for _ in range(3)], "seq string")
+    contigs = graph.assemble(reads, 31, 5, 200)
+    stats = graph.assembly_stats(reads, contigs, 31, 5)
+    row = stats.first()
+    assert (row.n_reads, row.n_contigs, row.n_circular) == (453, 1, 0) and row.n50 == row.total == row.longest > 370 and row.n_kmers == 370 >= row.n_kept
+    assert stats.select(reports.describe_assembly(31, 5)).first()[0].startswith("reads=453 k=31 min_count=5 kmers 370->")
+    pairs = spark.createDataFrame([(1, 2, 10, 20, 40), (3, 4, 9, 30, 20)], "sense int, antisense int, shared long, n_sense long, n_antisense long")
+    ranked = kmers.ranked_pairs(pairs, spark.createDataFrame([(1, 2.0), (4, 9.5)], "contig_id int, coverage double")).collect()
+    assert [(r.sense, r.fraction, r.antisense_coverage) for r in ranked] == [(3, 0.45, 9.5), (1, 0.5, 0.0)]
+    clusters = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 3), ("e", 3)], "key string, cluster_id int")
+    links = spark.createDataFrame([("a", "b", "antisense"), ("d", "e", "sense")], "a string, b string, orientation string")
+    assert {tuple(r) for r in pipelines.company_of(clusters, links).collect()} == {(1, 2, True), (3, 2, False)}
+    seeded = ranking.shuffled(clusters, "key", 4)
+    order = [r.key for r in seeded.collect()]
+    assert sorted(order) == list("abcde") and order == [r.key for r in ranking.shuffled(clusters.repartition(3), "key", 4).collect()] != [r.key for r in ranking.shuffled(clusters, "key", 5).collect()]
+    assert clusters.select(F.count("*")).first()[0] == 5
