@@ -201,12 +201,13 @@ def surest(model: CoTrained, text: np.ndarray, meta: np.ndarray, handed: int) ->
         known, good = model.ranks[view]
         for label, towards in ((1, lift), (0, -lift)):
             rows = np.argsort(-towards, kind="stable")[:handed]
-            # The held-out documents that are at least as sure of the label, SHOWN at least.
+            # The held-out documents that are at least as sure of the label, SHOWN at least (of few a fifth).
+            shown = min(SHOWN, max(len(known) // 5, 3), len(known))
             if label:
-                many = np.clip(len(known) - np.searchsorted(known, lift[rows]), min(SHOWN, len(known)), None)
+                many = np.clip(len(known) - np.searchsorted(known, lift[rows]), shown, None)
                 hits = good[-1] - good[len(known) - many]
             else:
-                many = np.clip(np.searchsorted(known, lift[rows], side="right"), min(SHOWN, len(known)), None)
+                many = np.clip(np.searchsorted(known, lift[rows], side="right"), shown, None)
                 hits = good[many]
             chance = (hits + 2 * share) / (many + 2)
             odds = np.log(chance / (1 - chance)) - model.prior

@@ -58,3 +58,43 @@ def test_sample_is_bounded(spark):
     docs, labels = tables(spark)
     assert quality.fit_quality(docs, labels, labelled=5, pool=5) is None
     assert quality.fit_quality(docs, labels, labelled=150, pool=20) is not None
+
+
+def test_both_views_gain():
+    """Views that are independent given the label, each taught by the other from 60 labels."""
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        y = rng.integers(0, 2, 4000).astype(float)
+        views = [rng.normal(size=(4000, 60)) for _ in range(2)]
+        for x in views:
+            x[:, :4] += 2.4 * (y[:, None] - 0.5)
+        known = np.where(np.arange(4000) < 60, y, np.nan)
+        right = {}
+        for rounds in (0, 3):
+            model = quality.CoTrained().fit(*views, known, rounds=rounds)
+            right[rounds] = [((lift[2000:] > 0) == (y[2000:] > 0)).mean() for lift in model.lifts(*views)]
+        assert model.handed[-1] == (600, 600) and all(b > a + 0.01 for a, b in zip(right[0], right[3]))
+
+
+def test_query_scores_every_document_as_plain_python_does(spark, tmp_path):
+    from helixframe.llm import queries
+
+    docs, labels = tables(spark, 300)
+    docs = docs.union(spark.createDataFrame([(None, None, None, None, None), (900, "", "en", "s", 0), (900, "", "en", "s", 0), (901, "word " * 30_000, "en", "s", 1)], docs.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op2_quality(spark, str(tmp_path)).collect()
+    model = quality.fit_quality(spark.read.parquet(str(tmp_path / "documents.parquet")), labels)
+    expected = []
+    for r in docs.collect():
+        p = float(model.score(quality.text_features([r.text or ""]), quality.metadata_features([r.lang], [r.source], [r.n_chars]))[0])
+        expected.append((str(r.doc_id), round(p, 6), p >= 0.5))
+    assert sorted((str(r.doc_id), round(r.quality_score, 6), r.accepted) for r in got) == sorted(expected)
+
+
+def test_labels_of_one_kind_are_sampled_by_half(spark):
+    docs, _ = tables(spark)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    whole, small = quality.fit_quality(docs, labels, rounds=0), quality.fit_quality(docs, labels, labelled=100, rounds=0)
+    assert abs(whole.shift) < 1e-9 and small.shift > 0.5  # 3 of 4 labels are good, of the sample a half
+    assert np.mean([r.accepted == (r.doc_id % 4 > 0) for r in quality.score_quality(docs, small).collect()]) > 0.97
