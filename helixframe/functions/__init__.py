@@ -11,6 +11,7 @@ SQL_FUNCTIONS = {
     "to_dna": ("s STRING", "STRING", "translate(upper(s), 'U', 'T')"),
     "gc_content": ("s STRING", "DOUBLE", "CASE WHEN length(s) = 0 THEN 0D ELSE length(regexp_replace(upper(s), '[^GC]', '')) / length(s) END"),
     "kmers": ("s STRING, k INT", "ARRAY<STRING>", "regexp_extract_all(s, concat('(?s)(?=(.{', k, '}))'), 1)"),
+    "hamming": ("a STRING, b STRING", "INT", "CASE WHEN length(a) = length(b) THEN aggregate(zip_with(split(a, ''), split(b, ''), (p, q) -> int(p <> q)), 0, (n, d) -> n + d) END"),
     "circular_unit": ("s STRING, k INT", "INT", "CASE WHEN length(s) >= 2 * k THEN nullif(greatest(instr(reverse(left(s, length(s) - 1)), reverse(right(s, k))), k - 1), k - 1) END"),
 }
 

@@ -37,6 +37,13 @@ def gc_content(seq: Column | str) -> Column:
     return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(s, "[^GC]", "")) / F.length(s))
 
 
+def hamming(a: Column | str, b: Column | str) -> Column:
+    """Places at which two strings of one length differ; null for others."""
+    x, y = _col(a), _col(b)
+    differ = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.when(p == q, 0).otherwise(1))
+    return F.when(F.length(x) == F.length(y), F.aggregate(differ, F.lit(0), lambda n, d: n + d))
+
+
 def kmers(seq: Column | str, k: int, letters: str | None = None) -> Column:
     """All overlapping windows of ``k`` characters, in order; empty below ``k``.
 

@@ -103,3 +103,11 @@ def test_assembly_report_pairs_and_company(spark):
     order = [r.key for r in seeded.collect()]
     assert sorted(order) == list("abcde") and order == [r.key for r in ranking.shuffled(clusters.repartition(3), "key", 4).collect()] != [r.key for r in ranking.shuffled(clusters, "key", 5).collect()]
     assert clusters.select(F.count("*")).first()[0] == 5
+
+
+def test_hamming(spark):
+    from helixframe.functions import hamming, register_functions
+
+    register_functions(spark)
+    df = spark.createDataFrame([("ACGT", "ACCA"), ("", ""), ("A", "AC"), (None, "A")], "a string, b string")
+    assert [tuple(r) for r in df.select(hamming("a", "b").alias("x"), F.expr("hamming(a, b)").alias("y")).collect()] == [(2, 2), (0, 0), (None, None), (None, None)]
