@@ -218,7 +218,7 @@ def circular_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Lengths of contigs that are folded with all their shuffles; a fold's time grows with the cube of the length.
-FOLDED = (10, 400)
+FOLDED = (10, 300)
 
 
 def _banded(spark: SparkSession, d: str, band: tuple[int, int] = (10, 1000)) -> DataFrame:
