@@ -1,14 +1,16 @@
 import random
 
 import simulate
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from helixframe.functions import register_functions
-
 from helixframe.operators import identify
 from helixframe.plans import pipelines
 from helixframe.streaming import drain, kmer_count_stream
 
+cloudpickle.register_pickle_by_value(simulate)  # workers do not see this folder
+
 
 def dna(n, seed):
     return "".join(random.Random(seed).choices("ACGT", k=n))
