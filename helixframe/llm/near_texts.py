@@ -211,7 +211,7 @@ def _similar(left: pa.Table, right: pa.Table | None) -> list[tuple[int, int]]:
     sets = []
     for table in (left, right) if right is not None else (left,):
         for names, counts in zip(table.column("set").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            sets.append((np.frombuffer(names, np.uint64), damped(np.frombuffer(counts, np.float64))))
+            sets.append((np.frombuffer(names, np.uint64), damped(np.frombuffer(counts, np.uint32)).astype(np.float32)))
     root = list(range(len(sets)))
 
     def top(i: int) -> int:
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found = [[part.tobytes() for part in shingles(x)] for x in batch.column("_text").to_pylist()]
+            found = [(names.tobytes(), counts.astype(np.uint32).tobytes()) for names, counts in map(shingles, batch.column("_text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("id"), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], ["key", "n", "id", "set", "counts"])
 
     exact = saved(texts.mapInArrow(sets, "key binary, n long, id binary, set binary, counts binary").dropDuplicates(["id"]))
