@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_back
 from .decontamination import find_passages
 from .html_text import extract_text
+from .language import fit_language, held_out, identify_language
 from .near_texts import near_duplicates
+from .negatives import hard_negatives
 from .pieces import encode_texts, ids_digest
+from .prefix_trie import conversation_trie
 from .quality import fit_quality, score_quality
 from .sharding import assign_shards, tree
 from .shared import table
@@ -99,6 +102,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations; no rows for an empty table."""
+    return conversation_trie(table(spark, sf_dir, "conversations"), heads=(20, 4))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The negatives of each anchor and positive among all rows of ``embeddings``; invalid rows take no part."""
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, repeated ids and null texts included; learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs)
+    return identify_language(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -110,6 +130,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_near_texts": op9_near_texts,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_language": op13_language,
 }
 
 #: The shards of ``tree(24)`` by region, rack and place, as SQL: names and weights of the children at each level.
@@ -122,6 +145,10 @@ def _least(path: str, children: list[tuple[str, int]]) -> str:
     return f"list_min([{', '.join('{d: ' + draw.format(path, name, float(w)) + ', n: ' + repr(name) + '}' for name, w in children)}]).n"
 
 
+#: CRC-32 of the text ``k`` in SQL, by the table ``t`` that follows from its polynomial.
+_CRC = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t)"
+_CRC_OF = "xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(k)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295)"
+
 ORACLES = {
     # The table of CRC-32 follows from its polynomial; slots count in the order of the file.
     "op10_sharding": f"""
@@ -158,5 +185,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   (3 + sum(chars + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 19 + length(role) END))::BIGINT AS formatted_chars,
   bool_and(CASE role WHEN 'system' THEN prev IS NULL WHEN 'user' THEN coalesce(prev, 'system') IN ('system', 'assistant') WHEN 'assistant' THEN coalesce(prev, '') = 'user' ELSE false END AND (nxt IS NOT NULL OR role = 'assistant')) AS valid
 FROM e GROUP BY conv_id
+""",
+    # A node is named by its depth and a digest of all its turns; subtree sums follow the path of each node's smallest member.
+    "op11_prefix_trie": rf"""
+WITH {_CRC},
+c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id),
+h AS (SELECT conv_id, n, conv_id - conv_id % 20 AS base, {_CRC_OF} % 4 AS h FROM (SELECT *, conv_id::VARCHAR AS k FROM n), crc),
+m AS (SELECT h.*, least(h, coalesce(b.n, 0)) AS taken FROM h LEFT JOIN n b ON b.conv_id = h.base),
+r AS (SELECT conv_id, pos - h + taken AS depth, d, words FROM c JOIN m USING (conv_id) WHERE pos > h UNION ALL SELECT m.conv_id, pos, d, words FROM m JOIN c ON c.conv_id = m.base AND pos <= taken),
+p AS (SELECT *, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r),
+q AS (SELECT conv_id, depth, sha256(path) AS node, CASE WHEN depth = 1 THEN '' ELSE sha256(left(path, -64)) END AS parent, words, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p
+      UNION ALL SELECT conv_id, 0, '', NULL, 0, conv_id NOT IN (SELECT conv_id FROM r) FROM n),
+v AS (SELECT depth, node, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CASE WHEN last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM q GROUP BY depth, node),
+k AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM v WHERE parent IS NOT NULL GROUP BY ALL),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (depth, node)),
+s AS (SELECT q.depth, q.node, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * w.words) AS saved_tokens FROM w JOIN q ON q.conv_id = w.conv_id AND q.depth <= w.depth GROUP BY ALL)
+SELECT w.conv_id, w.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (depth, node) LEFT JOIN v u ON u.depth = w.depth - 1 AND u.node = w.parent
+""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda x: coalesce(x[1], 0) * coalesce(x[2], 0))), 0)::BIGINT AS score
+      FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
 """,
 }

@@ -1,0 +1,195 @@
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe.llm import language, negatives, prefix_trie
+
+RNG = random.Random(9)
+
+
+def rebuilt(rows, heads):
+    """Conversations by id, as lists of (role, text), from (conv_id, turn, role, text)."""
+    given = {}
+    for c, t, r, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0)):
+        given.setdefault(c, []).append((r or "", x or ""))
+    if not heads:
+        return given
+    group, most = heads
+    out = {}
+    for c, own in given.items():
+        h = zlib.crc32(str(c).encode()) % most
+        out[c] = given.get(c - int(math.fmod(c, group)), [])[:h] + own[h:]
+    return out
+
+
+def brute_trie(rows, heads):
+    convs = rebuilt(rows, heads)
+    members = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    children = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        kids = children.get(node, [])
+        leaves[node] = sum(leaves[k] for k in kids) or 1
+        own = (len(members[node]) - 1) * len(node[-1][1].translate(dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")).split(" ")) if node else 0
+        if node:
+            own = (len(members[node]) - 1) * len([w for w in node[-1][1].translate(dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")).split(" ") if w])
+        saved[node] = own + sum(saved[k] for k in kids)
+    out = []
+    for node, who in members.items():
+        ends = ",".join(map(str, sorted(c for c in who if len(convs[c]) == len(node))))
+        out.append((min(who), len(node), min(members[node[:-1]]) if node else None, len(who), len(children.get(node, [])), leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def chats():
+    rows = []
+    for c in range(120):
+        r = random.Random(c % 50)
+        for t in range(r.randint(1, 7)):
+            rows.append((c, t, r.choice(["user", "assistant", None]), r.choice(["same words here", " two\twords ", None, "", "x" * 300, f"only {c}", "no break\u0085next"])))
+    rows += [(500, None, "user", "first"), (500, 3, "user", "last"), (None, 0, "user", "nobody"), (501, 0, "user", "a"), (-3, 0, "user", "a"), (-3, 1, None, None)]
+    rows += [(700, t, "user", f"long {t % 3}") for t in range(90)]  # one long conversation
+    rows += [(c, 0, "user", "hot first turn") for c in range(800, 900)]
+    return rows
+
+
+FIELDS = "conv_id long, turn long, role string, text string, depth string, S1 string"
+
+
+@pytest.mark.parametrize(("heads", "how"), [(None, {}), ((20, 4), {}), ((20, 4), {"band": 3, "shard": 20, "held": 3})])
+def test_trie_is_the_plain_one(spark, heads, how):
+    rows = chats()
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], FIELDS).repartition(5)
+    got = prefix_trie.conversation_trie(df, heads=heads, **how).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_trie(rows, heads)
+
+
+def test_trie_of_an_empty_table_and_of_turnless_conversations(spark):
+    assert prefix_trie.conversation_trie(spark.createDataFrame([], FIELDS), heads=(20, 4)).count() == 0
+    lone = [(c, 0, "user", "a") for c in range(1, 20)]  # without the conversation that lends its turns
+    got = prefix_trie.conversation_trie(spark.createDataFrame([(*r, "", "") for r in lone], FIELDS), heads=(20, 4))
+    assert sorted((tuple(r) for r in got.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256").collect()), key=str) == brute_trie(lone, (20, 4))
+
+
+def test_queue_keeps_the_order_when_it_spills(tmp_path):
+    queue = prefix_trie.SpillingQueue(f"file://{tmp_path}/q", 10)
+    kept, out = [], []
+    for i in range(3000):
+        item = (RNG.randint(0, 500), RNG.randint(-5, 5))
+        queue.push(item)
+        kept.append(item)
+        if i % 5 == 4:
+            assert queue.top() == min(kept)
+            out.append(queue.pop())
+            kept.remove(out[-1])
+    assert list((tmp_path / "q").iterdir())
+    assert [queue.pop() for _ in range(len(kept))] == sorted(kept)
+    assert queue.top() is None
+    queue.close()
+    assert not list((tmp_path / "q").iterdir())
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 1), (70, 64, 130), (33, 97, 35), (64, 0, 64), (40, 200, 90)])
+@pytest.mark.parametrize("most", [100, 1 << 28])
+def test_strassen_is_exact(shape, most):
+    m, k, n = shape
+    rng = np.random.default_rng(m * 7 + n)
+    a, b = (rng.integers(-most, most, s) for s in ((m, k), (k, n)))
+    assert (negatives.strassen(a, b) == (a.astype(object) @ b.astype(object) if k else np.zeros((m, n), int))).all()
+
+
+def brute_negatives(rows, every=100):
+    known = sorted({(i, (lab + 1) % 10 if i % 7 == 0 else lab, tuple(int(np.floor(256 * float(x))) for x in v)) for i, lab, v in rows if i is not None and lab is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
+    out = []
+    for a in known:
+        if a[0] % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(a[2], b[2])), b[0], b[1]) for b in known if b != a)
+        for ps, p, _ in [s for s in scored if s[2] == a[1]][:5]:
+            fit = [s for s in scored if s[2] != a[1] and 30 * -ps <= 100 * -s[0] <= 90 * -ps][:10]
+            out += [(a[0], p, rank, i, -ps, -s) for rank, (s, i, _) in enumerate(fit, 1)]
+    return sorted(out)
+
+
+def vectors(n, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(i, int(rng.integers(0, 4)), [float(np.float32(x)) for x in rng.normal(0.1, 0.3, 40)]) for i in range(n)]
+    rows += [(n + i, 1, rows[10][2]) for i in range(30)] + [rows[0], rows[20]]  # equal vectors, repeated rows
+    rows += [(9000, None, [0.0] * 40), (9001, 1, None), (9002, 1, [float("nan")] * 40), (9003, 1, [None] * 40), (9004, 2, []), (9005, 2, [0.5] * 50), (9010, 3, [float("inf")]), (None, 1, [1.0])]
+    return rows
+
+
+@pytest.mark.parametrize(("tile", "chunk"), [((1024, 2048), 16384), ((3, 16), 4)])
+def test_negatives_are_those_of_brute_force(spark, monkeypatch, tile, chunk):
+    monkeypatch.setattr(negatives, "TILE", tile)
+    monkeypatch.setattr(negatives, "CHUNK", chunk)
+    rows = vectors(250)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, label int, embedding array<float>, score string, id int").repartition(3)
+    got = negatives.hard_negatives(df, every=10)
+    assert sorted(tuple(r) for r in got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()) == brute_negatives(rows, 10)
+
+
+def test_negatives_of_an_empty_table(spark):
+    assert negatives.hard_negatives(spark.createDataFrame([], "vec_id long, label int, embedding array<double>")).count() == 0
+
+
+STEMS = {"aa": "kolu mera tin bao lis".split(), "bb": "thra wesk ong durn fyl".split(), "cc": "été çois làm oùn grê".split()}
+
+
+def prose(lang, n, seed):
+    rng = random.Random(f"{lang}{seed}")
+    return " ".join(rng.choice(STEMS[lang]) + rng.choice(["", rng.choice(STEMS[lang])]) for _ in range(n)).capitalize() + "."
+
+
+def test_languages_of_held_out_texts(spark):
+    rows = [(i, prose(lang, 1 + i % 40, i), lang) for i in range(300) for lang in (["aa", "bb", "cc"][i % 3],)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, Score string")
+    model = language.fit_language(df)
+    out = language.identify_language(df.withColumn("out", language.held_out("doc_id")), model).collect()
+    assert [r["out"] for r in out] == [zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in out]
+    held = [r for r in out if r["out"]]
+    assert len(held) > 40
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score_"] <= 1 for r in out)
+    # Nothing is learned from held-out rows or from null languages.
+    other = df.withColumn("lang", F.when(language.held_out("doc_id"), F.lit("zz")).otherwise(F.col("lang")))
+    again = language.fit_language(other.union(df.withColumns({"doc_id": F.col("doc_id") + 5000, "lang": F.lit(None).cast("string")})))
+    assert again.langs == model.langs
+    assert (again.logits == model.logits).all()
+
+
+def test_language_edges(spark):
+    rows = [(i, prose("aa" if i % 2 else "bb", 30, i), "aa" if i % 2 else "bb") for i in range(60)]
+    model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = [(1, None), (2, ""), (3, "123 -- \n"), (None, "kolu mera"), (4, "Ж"), (5, "kolu " * 400_000), (5, "kolu " * 400_000)]
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify_language(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()]
+    assert [g[1] for g in got[:3]] == ["und"] * 3
+    assert [g[2] for g in got[:3]] == [0.0] * 3
+    assert got[3][1] == got[5][1] == "aa"
+    assert got[4][1] in ("aa", "bb")
+    assert got[5] == got[6]
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert language.fit_language(empty) is None
+    assert [r["lang_pred"] for r in language.identify_language(spark.createDataFrame(odd[3:4], "doc_id long, text string"), None).collect()] == ["und"]
+    assert language.identify_language(empty, model).count() == 0
+
+
+def test_pieces_of_a_long_text_hold_every_subword_once(monkeypatch):
+    text = prose("cc", 400, 1)
+    count = lambda: np.sum([np.bincount(b, minlength=1 << language.BITS) for b, _ in language.blocks([text])], axis=0)
+    whole = count()
+    monkeypatch.setattr(language, "BLOCK", 37)
+    assert (count() == whole).all()
+    words = [f"\0{w}\0" for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+    assert whole.sum() == sum(len(w) - n + 1 - (2 if n == 1 else 0) for w in words for n in language.GRAMS if len(w) >= n)
