@@ -240,6 +240,12 @@ def unitig_assembly(spark: SparkSession, d: str) -> DataFrame:
     return out.select("lang", "id", F.md5("seq").alias("seq_md5"), F.length("seq").alias("n"), F.round("coverage", 6).alias("coverage"), "is_cycle")
 
 
+def greedy_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """``unitig_assembly`` with paths that go on through branches, and without contigs that bring nothing new."""
+    out = graph.assemble(reads(spark, d), 21, 5, 60, ["lang"], through=0.05)
+    return out.select("lang", "id", F.md5("seq").alias("seq_md5"), F.length("seq").alias("n"), F.round("coverage", 6).alias("coverage"), "is_cycle")
+
+
 def signature_sweep(spark: SparkSession, d: str) -> DataFrame:
     out = pipelines.sweep(planted(spark, d).where(F.length("seq").between(*FOLDED)), "contig_id", "seq")
     return out.select("rep", "cluster_id", "members", "has_sas", "is_circular", "longest_orf_nt", F.round("orphan_score", 6).alias("orphan_score"), F.round("structure_z", 6).alias("structure_z"), F.round("combined_score", 6).alias("combined_score"), F.round("q_value", 6).alias("q_value"), "reject")
@@ -276,7 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         circularity_mismatch1, concatemer_resolve, reference_kmer_screen, ncrna_anti_join, sas_pairs, orf_islands, orf_longest, codon_chisq,
         orphan_score, bh_fdr, n50_by_source, debruijn_degree, kmer_mean_coverage, confusion_fdr_power, roc_auc, average_precision,
         decoy_breakdown, library_verdict, header_parse, dinuc_shuffle_invariants, candidate_triage, circular_cluster, structure_zscore,
-        rod_profile, unitig_assembly, signature_sweep, blast_report_hits, event_windows_stream, read_prefix_stream,
+        rod_profile, unitig_assembly, greedy_assembly, signature_sweep, blast_report_hits, event_windows_stream, read_prefix_stream,
         sas_pairs_ranked, either_axis, hunt_candidates, circular_rates, contig_traits, calibrate_report,
     )
 }
