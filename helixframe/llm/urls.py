@@ -3,14 +3,14 @@
 Listed canonical URLs (host and path, an optional action) are hashed into a blocked Bloom filter:
 a key sets ``PROBES`` bits inside one block of 256 bits, kept as four longs. The keys that a page's
 url could match are tested there first; only possible hits go on to an exact hash join with the
-list, which removes the false positives. The filter is broadcast in bounded pieces, so that rows that
+list, which removes the false positives. The filter is broadcast in bounded pieces (of a short list it is a constant of the plan), so that rows that
 cannot match are turned away where they are read. A short list of few shapes is joined there too, and
-no row is shuffled; else verdicts are found once for each distinct url and joined back, so a host or
-url that fills a third of the table costs no more than any other.
+no row is shuffled; else possible hits are made distinct and settled, and verdicts joined back by url.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from functools import reduce
@@ -22,6 +22,8 @@ from .shared import free_name, saved
 
 PROBES = 8
 WORDS = 4
+#: Lists of up to so many entries (16 KB of filter) are looked up with the filter as a constant.
+SHORT = 2048
 #: Lists of up to so many entries are broadcast (16 MB at most); of longer ones the possible hits are joined by key.
 BROADCAST_RULES = 100_000
 #: Blocks of the filter in one broadcast (10 MB), and such pieces at most; a larger filter is joined by block.
@@ -81,8 +83,14 @@ def filter_urls(pages: DataFrame, url: str, rules: DataFrame, default: str = "al
     listed = rules.where("action IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").groupBy(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("action").alias("action"))
     listed = listed.select("action", F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("host_chars"), F.size(F.split("rule_host", "\\.")).alias("labels"), F.length("rule_path").alias("chars"))
     # The shapes (labels of the host, characters of the path) bound what a url can match.
-    known = listed.agg(F.count("*"), F.collect_set(F.struct("labels", "chars"))).first()
-    count, shapes = known[0], sorted(tuple(x) for x in known[1])
+    spark, own = pages.sparkSession, listed.limit(SHORT + 1).collect()
+    if len(own) <= SHORT:
+        listed = spark.createDataFrame(own, listed.schema)
+        count, shapes = len(own), sorted({(r["labels"], r["chars"]) for r in own})
+    else:
+        listed = saved(listed)
+        count = listed.count()
+        shapes = sorted(tuple(r) for r in listed.select("labels", "chars").distinct().collect())
     few = count <= BROADCAST_RULES
     host, path = host_and_path(F.col(url))
     names = {k: free_name(pages, k) for k in ("host", "path", "rule", "verdict")}
@@ -92,12 +100,15 @@ def filter_urls(pages: DataFrame, url: str, rules: DataFrame, default: str = "al
 
     blocks = max(1, math.ceil(count * 16 / 256))
     bloom = bloom_filter(listed, "rule", blocks)
-    if few and len(shapes) <= NARROW:
+    if few and len(own) <= SHORT and len(shapes) <= NARROW:
         return _looked_up(given, names, listed, bloom, blocks, shapes, default)
     parts = F.split("h", "\\.")
-    candidates = F.array(*(_candidate(parts, F.col("p"), *shape) for shape in shapes))
-    probes = pages.select(F.col(url).alias("u")).where("u IS NOT NULL").distinct().select("u", host_and_path(F.col("u"))[0].alias("h"), host_and_path(F.col("u"))[1].alias("p"))
-    probes = probes.select("u", F.explode(F.array_compact(candidates)).alias("key"))
+    # One expression for all shapes, however many; a url is asked about those that it is long enough for.
+    known = F.from_json(F.lit(json.dumps([{"l": x, "c": y} for x, y in shapes])), "array<struct<l:int,c:int>>")
+    fit = F.filter(known, lambda s: (s["l"] <= F.size(parts)) & (s["c"] <= F.length("p")))
+    candidates = F.transform(fit, lambda s: F.concat(F.array_join(F.slice(parts, F.size(parts) - s["l"] + 1, s["l"]), "."), F.substring(F.col("p"), F.lit(1), s["c"])))
+    probes = pages.select(F.col(url).alias("u")).where("u IS NOT NULL").select("u", host_and_path(F.col("u"))[0].alias("h"), host_and_path(F.col("u"))[1].alias("p"))
+    probes = probes.select("u", F.explode(candidates).alias("key"))
     block, bits = _place(F.col("key"), blocks)
     probes = probes.withColumn("block", block)
     pieces = math.ceil(blocks / PIECE)
@@ -107,8 +118,9 @@ def filter_urls(pages: DataFrame, url: str, rules: DataFrame, default: str = "al
         probes = reduce(DataFrame.unionByName, cut)
     else:
         probes = probes.join(bloom, "block")
-    possible = probes.where(_all_set(bits, F.col))
-    exact = possible.select("u", "key").join(F.broadcast(listed) if few else listed, F.col("key") == F.col("rule"))
+    # Only possible hits are shuffled.
+    possible = probes.where(_all_set(bits, F.col)).select("u", "key").distinct()
+    exact = possible.join(F.broadcast(listed) if few else listed, F.col("key") == F.col("rule"))
     best = exact.groupBy("u").agg(F.max(F.struct(F.length("rule").alias("l"), "host_chars", "rule", "action")).alias("best"))
     out = given.join(best, F.col(url) == F.col("u"), "left")
     return out.select(*given.columns, F.col("best.rule").alias(names["rule"]), F.coalesce("best.action", F.lit(default)).alias(names["verdict"]))
@@ -125,19 +137,25 @@ def _all_set(bits: list[Column], word: Callable[[str], Column]) -> Column:
 
 
 def _looked_up(given: DataFrame, names: dict[str, str], listed: DataFrame, bloom: DataFrame, blocks: int, shapes: list[tuple[int, int]], default: str) -> DataFrame:
-    """One pass over the rows: for each shape the filter's block and then, for possible hits, the rule, both broadcast."""
+    """One pass over the rows: for each shape the filter, a constant, and then, for possible hits, the rules, broadcast once."""
     own = "_u"  # no input column begins so
     while any(c.lower().startswith(own) for c in given.columns):
         own += "_"
     hits, key, hit, rule = (own + x for x in ("hits", "key", "hit", "rule"))
-    blooms = bloom.toDF(*(own + c for c in bloom.columns))
-    rules = listed.select(F.struct(F.length("rule").alias("l"), "host_chars", "rule", "action").alias(hit), F.col("rule").alias(rule))
+    words = [0] * (blocks * WORDS)
+    for row in bloom.collect():
+        for w in range(WORDS):
+            words[row["block"] * WORDS + w] = row[f"word{w}"]
+    held = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    rules = F.broadcast(listed.select(F.struct(F.length("rule").alias("l"), "host_chars", "rule", "action").alias(hit), F.col("rule").alias(rule)))
     out = given.withColumn(hits, F.array().cast("array<struct<l:int,host_chars:int,rule:string,action:string>>"))
     for shape in shapes:
-        block, bits = _place(F.col(key), blocks)
         tried = out.withColumn(key, _candidate(F.split(names["host"], "\\."), F.col(names["path"]), *shape))
-        tested = tried.join(F.broadcast(blooms), block == F.col(own + "block"), "left").select(*out.columns, F.when(_all_set(bits, lambda w: F.col(own + w)), F.col(key)).alias(key))
-        found = tested.join(F.broadcast(rules), F.col(key) == F.col(rule), "left")
+        block, bits = _place(F.col(key), blocks)
+        word = lambda bit, block=block: F.get(held, block * WORDS + F.shiftright(bit, 6))
+        there = reduce(lambda a, b: a & b, (F.call_function("shiftright", word(bit), bit.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1 for bit in bits))
+        tested = tried.select(*out.columns, F.when(F.col(key).isNotNull() & there, F.col(key)).alias(key))
+        found = tested.join(rules, F.col(key) == F.col(rule), "left")
         out = found.select(*given.columns, F.when(F.col(rule).isNotNull(), F.array_append(hits, F.col(hit))).otherwise(F.col(hits)).alias(hits))
     best = F.array_max(hits)
     return out.select(*given.columns, best["rule"].alias(names["rule"]), F.coalesce(best["action"], F.lit(default)).alias(names["verdict"]))

@@ -45,6 +45,17 @@ def test_many_rules_by_shuffled_joins(spark, monkeypatch):
     assert judged(spark, given, rules) == [brute(u, rules) for u in given]
 
 
+def test_long_lists_of_very_many_shapes(spark):
+    """20,000 rules of 1,000 shapes: 4 counts of labels, 250 lengths of paths."""
+    rules = [("block" if i % 3 else "allow", ".".join(f"x{j}" for j in range(i % 4)) + ("." if i % 4 else "") + f"h{i}.org", "/" + "p" * (i // 4 % 250)) for i in range(20_000)]
+    given = [f"http://{'w.' * (i % 3)}{rules[i][1]}{rules[i][2]}{'/t' * (i % 2)}" for i in range(0, 20_000, 100)] + [f"http://h{i}.org/q" for i in range(0, 20_000, 200)]
+    own = {}
+    for a, h, p in rules:
+        own.setdefault(h, []).append((a, h, p))
+    fits = lambda u: [r for x in (u.split("/")[2].split("."),) for k in range(len(x)) for r in own.get(".".join(x[k:]), ())]
+    assert judged(spark, given, rules) == [brute(u, fits(u)) for u in given]
+
+
 def test_bloom_pieces_and_side_by_side_lookups(spark, monkeypatch):
     rules = [("block", f"h{i}.org", f"/p{i % 7}/") for i in range(300)]
     given = [f"http://s.h{i}.org/p{i % 5}/x" for i in range(300)] + URLS
