@@ -140,9 +140,14 @@ class CoTrained:
     handed: list[tuple[int, int]] = field(default_factory=list)
 
     def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, choose: Choose | None = None, rounds: int = ROUNDS) -> CoTrained:
-        """``y`` is 1, 0 or NaN; rows of NaN are the pool where ``choose`` gives none. Every fifth row of either label is kept for calibration."""
-        held = np.concatenate([np.nonzero(y == c)[0][::5] for c in (0, 1)])
-        learn = np.setdiff1d(np.nonzero(~np.isnan(y))[0], held)
+        """``y`` is 1, 0 or NaN; rows of NaN are the pool where ``choose`` gives none.
+
+        Every fifth row of either label is kept for calibration; of a label with fewer than five rows the
+        first one calibrates and teaches as well. Both labels must occur.
+        """
+        of = [np.nonzero(y == c)[0] for c in (0, 1)]
+        held = np.concatenate([rows[::5] for rows in of])
+        learn = np.sort(np.concatenate([rows if len(rows) < 5 else np.setdiff1d(rows, rows[::5]) for rows in of]))
         choose = choose or _chooser(text, meta, np.nonzero(np.isnan(y))[0])
         share = np.clip(y[held].mean(), 1e-3, 1 - 1e-3)
         self.prior = float(np.log(share / (1 - share)))
@@ -194,13 +199,14 @@ def _ranked(lift: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lift[order], np.concatenate([[0], np.cumsum(y[order])])
 
 
-def surest(model: CoTrained, text: np.ndarray, meta: np.ndarray, handed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each view and label (view, label, rows, lifts towards the label, chances of good): at most ``handed`` rows, the surest first."""
+def surest(model: CoTrained, text: np.ndarray, meta: np.ndarray, handed: int, ties: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each view and label (view, label, rows, lifts towards the label, chances of good): at most ``handed`` rows, the surest first, of equal ones those of smaller ``ties``."""
+    ties = np.zeros(len(text)) if ties is None else ties
     share = 1 / (1 + np.exp(-model.prior))
     for view, lift in enumerate(model.lifts(text, meta)):
         known, good = model.ranks[view]
         for label, towards in ((1, lift), (0, -lift)):
-            rows = np.argsort(-towards, kind="stable")[:handed]
+            rows = np.lexsort((ties, -towards))[:handed]
             # The held-out documents that are at least as sure of the label, SHOWN at least (of few a fifth).
             shown = min(SHOWN, max(len(known) // 5, 3), len(known))
             if label:
@@ -247,8 +253,8 @@ def _unpacked(table: pa.Table) -> np.ndarray:
 def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int | None = None, rounds: int = ROUNDS, handed: int = HANDED, key: str = "doc_id", label: str = "quality", columns: tuple[str, str, str, str] = ("text", "lang", "source", "n_chars")) -> CoTrained | None:
     """Co-trains on at most ``labelled`` labelled documents, half for either label, and all unlabelled ones.
 
-    Labels of one id count by majority; ids with a tie, a null id or no document teach nothing. None
-    if the sample holds fewer than ten documents of either label. Each round reads all documents once
+    Labels of one id count by majority; ids with a tie, a null id or no document teach nothing. A single
+    document of a label is enough; None if there is none of either, as nothing tells them apart. Each round reads all documents once
     and fetches at most ``handed`` of them for either view and label; ties go by a hash of the id.
     Labelled documents beyond the bound count as unlabelled, documents with a null id are never
     handed over. ``pool`` may bound the unlabelled documents looked at (default: all).
@@ -271,28 +277,28 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     if not len(order):
         return None
     x, y = _unpacked(sample)[order], np.asarray(sample.column("_y"))[order]
-    if min((y == 1).sum(), (y == 0).sum()) < 10:
+    if y.min() == y.max():
         return None
     taken = sample.select(["_id"])
 
     def choose(model: CoTrained) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         nonlocal taken
-        free = given.where("_id IS NOT NULL").join(F.broadcast(spark.createDataFrame(taken.to_pandas(), f"_id {kind}")), "_id", "left_anti")
+        free = given.where("_id IS NOT NULL").withColumn("_tie", F.xxhash64("_id")).join(F.broadcast(spark.createDataFrame(taken.to_pandas(), f"_id {kind}")), "_id", "left_anti")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = {}
             for batch in slices(batches, columns[0]):
                 text, meta = _features(batch, columns)
                 both = np.hstack([text, meta]).astype(np.float32)
-                ids = batch.column("_id").to_pylist()
-                for view, side, rows, lifts, chance in surest(model, text, meta, handed):
+                ids, ties = batch.column("_id").to_pylist(), np.asarray(batch.column("_tie"))
+                for view, side, rows, lifts, chance in surest(model, text, meta, handed, ties):
                     held = best.setdefault((view, side), [])
-                    held += zip(lifts.tolist(), (ids[i] for i in rows), both[rows], chance.tolist(), strict=True)
-                    held.sort(key=lambda row: -row[0])
+                    held += zip(lifts.tolist(), (ids[i] for i in rows), both[rows], chance.tolist(), ties[rows].tolist(), strict=True)
+                    held.sort(key=lambda row: (-row[0], row[4], row[1]))
                     del held[handed:]
             for (view, side), held in best.items():
                 if held:
-                    lift, own, rows, chance = zip(*held, strict=True)
+                    lift, own, rows, chance, _ = zip(*held, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(own, batch_kind), pa.array([view] * len(own), pa.int32()), pa.array([side] * len(own), pa.int32()), pa.array(lift), pa.array(chance), _packed(np.array(rows))], ["_id", "view", "side", "lift", "chance", "x"])
 
         batch_kind = sample.schema.field("_id").type
@@ -319,7 +325,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0
     """Adds ``quality_score`` (0 to 1) and ``accepted`` (score at least ``threshold``) to every row.
 
     Null and empty texts, null languages, sources and sizes are feature values of their own. Repeated
-    rows score alike. Without a model (too few labels) every row scores 1. ``keep`` names the input
+    rows score alike. Without a model (labels of one kind only) every row scores 1. ``keep`` names the input
     columns to return (default all); a clashing added name ends in an underscore.
     """
     kept = keep if keep is not None else docs.columns

@@ -56,7 +56,7 @@ def test_edges(spark):
 
 def test_sample_is_bounded(spark):
     docs, labels = tables(spark)
-    assert quality.fit_quality(docs, labels, labelled=5, pool=5) is None
+    assert len(quality.fit_quality(docs, labels, labelled=5, pool=5).ranks[0][0]) == 2  # two of either label, one of each held
     assert quality.fit_quality(docs, labels, labelled=150, pool=20) is not None
 
 
@@ -98,3 +98,53 @@ def test_labels_of_one_kind_are_sampled_by_half(spark):
     whole, small = quality.fit_quality(docs, labels, rounds=0), quality.fit_quality(docs, labels, labelled=100, rounds=0)
     assert abs(whole.shift) < 1e-9 and small.shift > 0.5  # 3 of 4 labels are good, of the sample a half
     assert np.mean([r.accepted == (r.doc_id % 4 > 0) for r in quality.score_quality(docs, small).collect()]) > 0.97
+
+
+def test_few_labels_of_a_kind_are_still_fitted(spark):
+    docs, _ = tables(spark)
+    rejected = []
+    for few in (1, 3, 9):
+        chosen = [i for i in range(0, 400, 4)][:few] + [i for i in range(600) if i % 4]
+        labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in chosen], "doc_id long, quality int, toxic int")
+        model = quality.fit_quality(docs, labels)
+        got = quality.score_quality(docs, model).collect()
+        assert np.mean([r.accepted for r in got if r.doc_id % 4]) > 0.99, few  # clean documents stay
+        # One label in hundreds leaves the odds against it, so fewer are rejected; how documents rank does not suffer.
+        worse, better = ([r.quality_score for r in got if (r.doc_id % 4 > 0) == kind] for kind in (False, True))
+        assert np.mean([a < b for a in worse for b in better]) > 0.95, few
+        rejected.append(np.mean([not r.accepted for r in got if r.doc_id % 4 == 0]))
+    assert rejected[0] > 0 and rejected[2] > 0.5, rejected
+
+
+def brute_surest(model, rows, handed):
+    """Rows (id, text, metadata) ranked in plain Python: for each view and label the ids handed over."""
+    share = 1 / (1 + np.exp(-model.prior))
+    lifts = model.lifts(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+    out = {}
+    for view in (0, 1):
+        known, good = (x.tolist() for x in model.ranks[view])
+        for label in (1, 0):
+            ranked = []
+            for (key, *_), lift in zip(rows, lifts[view].tolist(), strict=True):
+                above = [i for i, x in enumerate(known) if (x >= lift if label else x <= lift)]
+                many = max(len(above), min(quality.SHOWN, max(len(known) // 5, 3), len(known)))
+                hits = good[-1] - good[len(known) - many] if label else good[many]
+                chance = (hits + 2 * share) / (many + 2)
+                odds = np.log(chance / (1 - chance)) - model.prior
+                ranked.append((-lift if label else lift, key, (odds if label else -odds) >= np.log(quality.LIFT)))
+            out[view, label] = [key for _, key, sure in sorted(ranked)[:handed] if sure]
+    return out
+
+
+def test_what_is_handed_over_against_plain_python():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 500).astype(float)
+    text, meta = rng.normal(size=(500, 4)) + 2 * y[:, None], rng.normal(size=(500, 3)) + y[:, None]
+    text[300:320], meta[300:320] = text[300], meta[300]  # ties
+    model = quality.CoTrained().fit(text[:200], meta[:200], y[:200], rounds=0)
+    keys = rng.permutation(300)
+    want = brute_surest(model, [(int(k), t, m) for k, t, m in zip(keys, text[200:], meta[200:], strict=True)], 40)
+    for order in (np.arange(300), rng.permutation(300)):
+        got = {(view, label): keys[order][rows].tolist() for view, label, rows, *_ in quality.surest(model, text[200:][order], meta[200:][order], 40, keys[order])}
+        assert got == want
+    assert all(len(v) > 10 for v in want.values())
