@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from .shared import dropped, free_name, saved, slices
 
 Q = 8
-#: Edits allowed for each character of a passage, and the shortest passage that is searched with edits.
-RATE, LEAST = 0.1, 40
+#: Edits allowed for each character of a passage, and the shortest passage that is searched with edits: one edit leaves two
+#: runs, of which one has Q characters.
+RATE, LEAST = 0.1, 2 * Q
 #: Characters of passages in one block of the index (about 16 bytes of index each), and blocks that a worker holds at once.
 PASS_CHARS, HELD = 2_000_000, 4
 #: Bits of the first test of a q-gram.
@@ -219,7 +220,7 @@ class Passages:
 
 
 class Short:
-    """Passages too short for shared q-grams, found exactly and between word boundaries.
+    """Passages too short for any edit under the lemma, found exactly and between word boundaries.
 
     Each is looked up by its longest word, at the places of that word in a text; one without any word
     is searched as it stands.
@@ -264,8 +265,9 @@ def find_passages(df: DataFrame, text: str, benchmark: DataFrame, item: str, ite
     ``RATE`` edits for each of its characters; ``begin`` and ``end`` are character positions of its
     best place. Whole texts are searched.
 
-    Items shorter than ``LEAST`` characters are found without edits (but for case and kind of white
-    space) and only between word boundaries, at their first place.
+    The edits are those for which the lemma asks for a shared q-gram, one from 16
+    characters, two from 24, three from 32. Items shorter than ``LEAST`` characters, for which it allows none, are
+    found as they stand (but for case and kind of white space), between word boundaries, at their first place.
 
     Null and empty texts have no hits. Items that are null or nothing but white space are not searched;
     items of equal text are all reported. Repeated rows are searched each. ``keep`` names

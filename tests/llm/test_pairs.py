@@ -294,4 +294,29 @@ def test_short_benchmark_items_are_found_between_word_boundaries(spark):
     texts = [(1, "Q: WHAT is the\ncapital of Peru? Lima"), (2, "a start and parts"), (3, "art"), (4, "so ?! and (art)"), (5, "What is the capital of Perus?"), (6, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: [tuple(h) for h in r.hits] for r in decontamination.find_passages(docs, "text", bench, "item_id", "text").collect()}
-    assert got == {1: [(1, 3, 31, 0), (6, 3, 31, 0)], 2: [], 3: [(2, 0, 3, 0)], 4: [(2, 11, 14, 0), (3, 3, 5, 0)], 5: [], 6: []}
+    assert got == {1: [(1, 3, 31, 0), (6, 3, 31, 0)], 2: [], 3: [(2, 0, 3, 0)], 4: [(2, 11, 14, 0), (3, 3, 5, 0)], 5: [(1, 0, 27, 1), (6, 0, 27, 1)], 6: []}
+
+
+def test_items_of_sixteen_characters_and_more_are_found_with_edits(spark):
+    """Substituted, inserted and left-out characters, one more than allowed too, against the plain distance."""
+    rng, items, docs = random.Random(77), [], []
+    for n in range(10, 61):
+        item = text(40, 8000 + n)[:n].strip()
+        items.append((n, item))
+        for more in (0, 1, 2, 4):
+            s = list(item)
+            for _ in range(more):
+                at = rng.randrange(1, len(s) - 1)
+                s[at : at + rng.choice((0, 1))] = rng.choice(("", "q", "zy"))
+            docs.append((len(docs), text(8, n) + " " + "".join(s) + " " + text(8, n + 500)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), "text", bench, "item_id", "text", keep=["doc_id"])
+    got = {r.doc_id: {h.item: h.edits for h in r.hits} for r in found.collect()}
+    edited_hits = 0
+    for i, doc in docs:
+        for n, item in items[max(i // 4 - 3, 0) : i // 4 + 4]:
+            if len(item) >= 16:
+                best = edit_distance_within(item, doc)
+                assert got[i].get(n) == (best if best <= min(int(len(item) * 0.1), (len(item) - 8) // 8) else None), (i, n)
+                edited_hits += bool(got[i].get(n))
+    assert edited_hits > 40
