@@ -13,6 +13,7 @@ from .sequence_files import (  # noqa: F401
     read_run_metadata,
     register_sources,
     run_urls,
+    stream_fastq,
     with_metadata,
     write_fasta,
     write_labels,

@@ -1,22 +1,25 @@
 """FASTA, FASTQ and the text tables around sequencing runs, as DataFrames.
 
 FASTA is split at record starts by Spark's own text reader, so a large plain file is read by many
-tasks. FASTQ goes through a Python data source, as a gzip stream can only be read from its start:
-one partition for each file.
+tasks. FASTQ goes through a Python data source: plain files are read in byte ranges by many tasks, a
+gzip stream, which can only be read from its start, by one.
 """
 
 from __future__ import annotations
 
 import gzip
+import http.client
 import io
+import json
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import header_coverage, leading_token
 
@@ -43,8 +46,11 @@ def write_fasta(df: DataFrame, path: str, header: str = "id", seq: str = "seq",
 
 
 def append_results(df: DataFrame, path: str, by: str = "accession") -> None:
-    """Adds result rows under their run's folder, so that finished runs stay when a later one fails."""
-    df.write.mode("append").partitionBy(by).parquet(path)
+    """Puts result rows under their run's folder; a run that is written again replaces its own rows only.
+
+    Folders change when the whole write is done, so finished runs stay as they were when a later write fails.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -52,11 +58,19 @@ def write_report(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
+#: Bytes of a plain FASTQ file that one task reads.
+PART_BYTES = 64 << 20
+#: What a transfer that breaks off raises.
+BROKEN = (EOFError, OSError, zlib.error, http.client.HTTPException)
+
+
 class FastqSource(DataSource):
-    """Sequences of FASTQ files, plain or gzip.
+    """Sequences of FASTQ files (records of four lines), plain or gzip, as a table or as a stream.
 
-    Options: ``paths`` (comma-separated), ``limit`` (reads of each file, the reader stops there),
-    ``min_useful`` (a gzip stream that breaks off after so many reads ends there instead of failing).
+    Options: ``paths`` (comma-separated files, of a stream folders), ``limit`` (reads of each file, the
+    reader stops there), ``min_useful`` (a stream of bytes that breaks off after so many reads ends there
+    instead of failing), ``part_bytes`` (of a plain file that one task reads). ``part`` numbers the ranges of
+    a file, ``read_idx`` counts the reads within one.
     """
 
     @classmethod
@@ -64,49 +78,135 @@ class FastqSource(DataSource):
         return "fastq"
 
     def schema(self) -> str:
-        return "path string, read_idx long, seq string"
+        return "path string, part int, read_idx long, seq string"
 
     def reader(self, schema) -> DataSourceReader:
         return FastqReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FastqStream(dict(self.options))
+
 
 class FilePart(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """Bytes ``begin`` to ``end`` of a file (to its end if ``end`` is None); a record belongs to the part that it begins in."""
+
+    def __init__(self, path: str, number: int = 0, begin: int = 0, end: int | None = None):
+        self.path, self.number, self.begin, self.end = path, number, begin, end
+
 
+class FastqParts:
+    """How files are cut and read; what table and stream have in common."""
 
-class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         low = {k.lower(): v for k, v in options.items()}
         self.paths = [p for p in low.get("paths", low.get("path", "")).split(",") if p]
         self.limit, self.min_useful = int(low.get("limit", 0)), int(low.get("min_useful", 0))
+        self.part_bytes = int(low.get("part_bytes", PART_BYTES))
 
-    def partitions(self) -> list[InputPartition]:
-        return [FilePart(p) for p in self.paths]
+    def parts_of(self, path: str) -> list[InputPartition]:
+        """Ranges of a plain file; gzip, transfers over http and reads up to a limit go through one task."""
+        if self.limit or urlsplit(path).path.endswith(".gz") or re.match("https?://", path):
+            return [FilePart(path)]
+        files, inner = _file_system(path)
+        size = files.get_file_info(inner).size or 0
+        cuts = list(range(0, max(size, 1), self.part_bytes))
+        return [FilePart(path, i, at, at + self.part_bytes if i + 1 < len(cuts) else None) for i, at in enumerate(cuts)]
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
         found = 0
-        with _opened(partition.path) as raw:
-            stream = gzip.open(raw) if urlsplit(partition.path).path.endswith(".gz") else raw
-            try:
+        try:
+            for seq in self._sequences(partition):
+                yield partition.path, partition.number, found, seq
+                found += 1
+                if self.limit and found >= self.limit:
+                    return
+        except BROKEN:
+            if not self.min_useful or found < self.min_useful:
+                raise
+
+    def _sequences(self, part: FilePart) -> Iterator[str]:
+        if not part.begin and part.end is None:
+            with _opened(part.path) as raw:
+                stream = gzip.open(raw) if urlsplit(part.path).path.endswith(".gz") else raw
                 for i, line in enumerate(io.TextIOWrapper(io.BufferedReader(stream), errors="replace")):
                     if i % 4 == 1:
-                        yield partition.path, found, line.strip()
-                        found += 1
-                        if self.limit and found >= self.limit:
-                            return
-            except EOFError:
-                if not self.min_useful or found < self.min_useful:
-                    raise
+                        yield line.strip()
+            return
+        files, inner = _file_system(part.path)
+        with files.open_input_file(inner) as raw:
+            raw.seek(max(part.begin - 1, 0))
+            stream = io.BufferedReader(raw)
+            at = part.begin
+            if part.begin:
+                at += len(stream.readline()) - 1  # the line that the cut lies in, none if it lies between two
+            held: list[bytes] = []
+            if part.begin:
+                # A record begins at a line with "@" whose second next has "+"; no other line of a record is followed so.
+                while True:
+                    while len(held) < 3 and (line := stream.readline()):
+                        held.append(line)
+                    if len(held) < 3:
+                        return  # no whole record begins here
+                    if held[0].startswith(b"@") and held[2].startswith(b"+"):
+                        break
+                    at += len(held.pop(0))
+            while part.end is None or at < part.end:
+                while len(held) < 4 and (line := stream.readline()):
+                    held.append(line)
+                if len(held) < 2:
+                    return
+                yield held[1].decode("utf-8", "replace").strip()
+                at += sum(map(len, held))
+                held = []
+
+
+class FastqReader(FastqParts, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return [part for path in self.paths for part in self.parts_of(path)]
 
 
-def _opened(path: str):
-    """A byte stream of a file: over http(s) as the reader goes on, so that a limit ends the transfer, else through Arrow's file systems."""
+class FastqStream(FastqParts, DataSourceStreamReader):
+    """New files of folders, in the order of their names. A file must be whole when it appears, as under a rename.
+
+    The offset holds the name and size of every file that was seen, so that a restart from a checkpoint
+    neither loses nor repeats a read.
+    """
+
+    def initialOffset(self) -> dict:
+        return {"seen": "{}"}
+
+    def latestOffset(self) -> dict:
+        from pyarrow import fs
+
+        seen = {}
+        for folder in self.paths:
+            files, inner = _file_system(folder)
+            prefix = folder[: len(folder.rstrip("/")) - len(inner.rstrip("/"))]
+            for info in files.get_file_info(fs.FileSelector(inner, recursive=False, allow_not_found=True)):
+                if info.type == fs.FileType.File and re.search(r"\.(fastq|fq)(\.gz)?$", info.path):
+                    seen[prefix + info.path] = info.size
+        return {"seen": json.dumps(seen, sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        before, now = json.loads(start["seen"]), json.loads(end["seen"])
+        return [part for path in sorted(now.keys() - before.keys()) for part in self.parts_of(path)]
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def _file_system(path: str):
+    """Arrow's file system of a path, and the path inside it."""
     import pyarrow.fs as fs
 
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _opened(path: str):
+    """A byte stream of a file: over http(s) as the reader goes on, so that a limit ends the transfer, else through Arrow's file systems."""
     if re.match("https?://", path):
         return urlopen(path, timeout=300)
-    files, path = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    files, path = _file_system(path)
     return files.open_input_stream(path, compression=None)
 
 
@@ -114,10 +214,27 @@ def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSource)
 
 
-def read_fastq(spark: SparkSession, paths: list[str], limit: int = 0, min_useful: int = 0) -> DataFrame:
-    """``(path, read_idx, seq)`` of FASTQ files; names and qualities are not kept."""
+def read_fastq(spark: SparkSession, paths: list[str], limit: int = 0, min_useful: int = 0, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``(path, read_idx, seq)`` of FASTQ files; names and qualities are not kept.
+
+    Where a file is read in several ranges, these are counted first, so that ``read_idx`` counts within the file.
+    """
+    register_sources(spark)
+    options = {"paths": ",".join(paths), "limit": limit, "min_useful": min_useful, "part_bytes": part_bytes}
+    rows = spark.read.format("fastq").options(**options).load()
+    if len(FastqReader({k: str(v) for k, v in options.items()}).partitions()) <= len(paths):
+        return rows.drop("part")
+    counts = rows.groupBy("path", "part").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each range: as many as tasks.
+    ahead = counts.select("path", "part", ahead.alias("ahead"))
+    return rows.join(F.broadcast(ahead), ["path", "part"]).select("path", (F.col("read_idx") + F.col("ahead")).alias("read_idx"), "seq")
+
+
+def stream_fastq(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """A stream of ``(path, part, read_idx, seq)`` of the FASTQ files that appear in folders."""
     register_sources(spark)
-    return spark.read.format("fastq").option("paths", ",".join(paths)).option("limit", limit).option("min_useful", min_useful).load()
+    return spark.readStream.format("fastq").option("paths", ",".join(folders)).load()
 
 
 def _size(spark: SparkSession, path: str) -> int | None:
