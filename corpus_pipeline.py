@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the co-trained classifier accepts.
 
     Null and empty texts and null metadata are judged as such; repeated rows go or stay together. Where
-    ``labels`` has fewer than ten documents of either label, all are kept.
+    ``labels`` has documents of one kind only, all are kept.
     """
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).where(F.col(free_name(docs, "accepted"))).select(*docs.columns)

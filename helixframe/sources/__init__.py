@@ -1,5 +1,6 @@
 """Readers and writers of sequence files and of the tables around them."""
 
+from .archive import run_metadata  # noqa: F401
 from .sequence_files import (  # noqa: F401
     append_results,
     junction_evidence,

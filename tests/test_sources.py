@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import register_functions
-from helixframe.operators import coding, kmers
-from helixframe.sources import append_results, read_fastq, stream_fastq, write_fasta
+from helixframe.operators import coding, graph, kmers, quality
+from helixframe.sources import append_results, read_fastq, run_metadata, stream_fastq, write_fasta
 
 
 def dna(n, seed):
@@ -115,3 +115,59 @@ def test_antisense_pairs_stay_within_their_group(spark):
     for common in (50, 1):
         got = {(r.sense, r.antisense) for r in kmers.antisense_pairs(df, by="run", common=common).collect()}
         assert got == {(1, 2), (5, 6), (7, 9), (8, 9)}
+
+
+def test_run_metadata_by_pushed_accessions_with_backoff(spark):
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            name = self.path.split("accession=")[1].split("&")[0]
+            asked.append(name)
+            if name == "R2" and asked.count("R2") < 3 or name == "R3":
+                self.send_error(503)
+                return
+            head = "run_accession\tlibrary_strategy\tread_count\n"
+            body = {"R1": head + "R1\tRNA-Seq\t12\n", "R2": head + "R2\tWGS\tmany\n", "R4": head}.get(name, "")
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    how = {"url": f"http://127.0.0.1:{server.server_port}/search", "pause": 0.01, "runs": 2}
+    pushdown = "spark.sql.python.filterPushdown.enabled"
+    try:
+        spark.conf.set(pushdown, "false")
+        with pytest.raises(ValueError, match="filterPushdown"):
+            run_metadata(spark, ["R1"], **how)
+        spark.conf.set(pushdown, "true")
+        got = {r.accession: (r.library_strategy, r.library_source, r.read_count, r.fetched) for r in run_metadata(spark, ["R1", "R2", "R3", "R4", "R1"], **how).collect()}
+        assert got == {"R1": ("RNA-Seq", "", 12, True), "R2": ("WGS", "", None, True), "R3": (None, None, None, False), "R4": (None, None, None, False)}
+        assert (asked.count("R1"), asked.count("R2"), asked.count("R3")) == (1, 3, 3)
+        with pytest.raises(Exception, match="name the runs"):
+            spark.read.format("run_metadata").options(**how).load().count()
+    finally:
+        spark.conf.unset(pushdown)
+        server.shutdown()
+
+
+def test_known_names_of_several_searches_are_counted(spark):
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    known = quality.known_names({"rRNA(bac)": names("a", "b"), "rRNA(euk)": names("b"), "tRNA": names("z")})
+    contigs = spark.createDataFrame([("a len=1",), ("b",), ("c x",)], "id string")
+    assert [r.name for r in quality.without_known(contigs, known).collect()] == ["c"]
+    assert quality.known_report(contigs, known).first().asDict() == {"n_input": 3, "n_kept": 1, "n_dropped": 2, "by_kind": {"rRNA(bac)": 2, "rRNA(euk)": 1}}
+    assert quality.known_report(contigs.limit(0), known).first().asDict() == {"n_input": 0, "n_kept": 0, "n_dropped": 0, "by_kind": {}}
+
+
+def test_removed_nodes_are_counted(spark):
+    line = dna(300, 13)
+    df = spark.createDataFrame([("x", line)] * 3 + [("x", line[:150] + dna(20, 14))] * 3, "run string, seq string")
+    nodes = graph.count_kmers(df, 21, 2, ["run"])
+    left = graph.without_tips(nodes, 21, ["run"])
+    assert [tuple(r) for r in graph.removed_nodes(nodes, left, ["run"]).collect()] == [("x", nodes.count(), nodes.count() - left.count())]
+    assert left.count() == 280
