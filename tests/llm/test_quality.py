@@ -103,7 +103,7 @@ def test_labels_of_one_kind_are_sampled_by_half(spark):
 def test_few_labels_of_a_kind_are_still_fitted(spark):
     docs, _ = tables(spark)
     rejected = []
-    for few in (1, 3, 9):
+    for few in (1, 9):
         chosen = [i for i in range(0, 400, 4)][:few] + [i for i in range(600) if i % 4]
         labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in chosen], "doc_id long, quality int, toxic int")
         model = quality.fit_quality(docs, labels)
@@ -113,7 +113,7 @@ def test_few_labels_of_a_kind_are_still_fitted(spark):
         worse, better = ([r.quality_score for r in got if (r.doc_id % 4 > 0) == kind] for kind in (False, True))
         assert np.mean([a < b for a in worse for b in better]) > 0.95, few
         rejected.append(np.mean([not r.accepted for r in got if r.doc_id % 4 == 0]))
-    assert rejected[0] > 0 and rejected[2] > 0.5, rejected
+    assert rejected[0] > 0 and rejected[-1] > 0.5, rejected
 
 
 def brute_surest(model, rows, handed):
