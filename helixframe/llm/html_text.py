@@ -2,12 +2,14 @@
 
 A page becomes a light tree of elements. Parts that are no running text by their element or role are
 cut off. Each remaining node gets the composite text density: characters per tag, weighted by a
-logarithm that lowers it as links make up more of the text; below a class or id that speaks of
+logarithm that lowers it as links make up more of the text; below a class or id that holds a word of
 boilerplate it counts a fifth. The node whose children's densities sum highest is the content. The
 lowest density on its path up to the body is the threshold: beside the path, parts of the body that
-reach it add their own highest-sum subtrees, and so do parts made of nothing but paragraphs. Where
-the path lies in an article or main element, the whole of that element belongs to it. Boilerplate by
-name stays out unless the chosen node lies in it.
+reach it add their own highest-sum subtrees, and so do a lone paragraph and a title. Where the path
+lies in an article or main element, the whole of that element belongs to it. A name made of words of
+boilerplate and layout alone (``cookie-notice``, ``post-comments``) also keeps its element out of the
+text, unless the chosen node lies in it; a name with any other word (``share-price``) may be the
+article's own subject and is only a weight.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ MARKED_WEIGHT = 0.2
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination paging popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+#: Words of layout, which say nothing of the subject beside one of the words above.
+LAYOUT = frozenset(
+    "area article block body bottom box button buttons card col column container content desktop div entry first form global group holder icon icons inner item items large last left link links list main mobile module outer page panel part post posts primary right row secondary section single site slot small sticky story text thread title top unit user users view wrap wrapper zone".split()
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search".split())
 #: Share of link characters from which a part with several links is a list of links.
 LINKED = 0.6
@@ -49,10 +55,11 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "marked", "main", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "marked", "hinted", "main", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False, hinted: bool = False):
         self.tag, self.parent, self.dropped, self.marked, self.main = tag, parent, dropped, marked, tag in ("article", "main")
+        self.hinted = hinted
         self.items: list[Node | str] = []
         self.weight = 1.0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -83,8 +90,8 @@ class TreeBuilder(HTMLParser):
         inside = self._inside_main()
         given = dict(attrs)
         dropped = tag in DROPPED or tag == "header" and not inside or (given.get("role") or "").strip().lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
-        marked = bool(attrs) and tag != "main" and self._marked(given, inside or tag == "article")
-        node = Node(tag, self.at, dropped, marked)
+        marked, hinted = self._named(given, inside or tag == "article") if attrs and tag != "main" else (False, False)
+        node = Node(tag, self.at, dropped, marked, hinted)
         if tag in ("main", "h1") or tag == "article" and not marked:  # a wrapper named after its sidebar or header is no boilerplate
             self._clear_wrappers()
         self.at.items.append(node)
@@ -110,6 +117,7 @@ class TreeBuilder(HTMLParser):
         node = self.at
         while node is not None and node.tag not in DROPPED:
             node.marked = node.marked and node.tag == "article"
+            node.hinted = node.hinted and node.tag == "article"
             node = node.parent
 
     def _close(self, tag: str, scopes: frozenset) -> None:
@@ -123,10 +131,16 @@ class TreeBuilder(HTMLParser):
             self.at = node.parent
 
     @staticmethod
-    def _marked(attrs: dict, inside: bool) -> bool:
-        names = " ".join((attrs.get("class") or "", attrs.get("id") or ""))
-        found = MARKED.intersection(WORDS.findall(CAMEL.sub(" ", names).lower())) if names != " " else ()
-        return bool(found) and not (inside and found == {"header"})
+    def _named(attrs: dict, inside: bool) -> tuple[bool, bool]:
+        """Whether a class or id is one of boilerplate, and whether one holds such a word beside words of another kind."""
+        marked = hinted = False
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+            words = {w for w in WORDS.findall(CAMEL.sub(" ", name).lower()) if len(w) > 1}
+            found = words & MARKED
+            if found and not (inside and found == {"header"}):
+                marked = marked or words <= MARKED | LAYOUT
+                hinted = hinted or not words <= MARKED | LAYOUT
+        return marked, hinted
 
 
 def composite(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
@@ -151,7 +165,7 @@ def _measure(root: Node) -> None:
                 node.chars += n
                 node.link_chars += n if linked else 0
             elif not item.dropped:
-                item.weight = node.weight * (MARKED_WEIGHT if item.marked else 1.0)
+                item.weight = node.weight * (MARKED_WEIGHT if item.marked or item.hinted else 1.0)
                 stack.append((item, linked))
     for node in reversed(order):
         if node.parent is not None and node is not root:
@@ -175,19 +189,29 @@ def _below(node: Node) -> Iterator[Node]:
         stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped]
 
 
-def _prose(node: Node) -> bool:
-    """Whether all of the node's text stands in paragraphs and headings, and less than ``LINKED`` of it in links."""
+def _lone(node: Node) -> bool:
+    """Whether all of the node's text stands in one paragraph, or in paragraphs with a title; less than ``LINKED`` of it in links.
+
+    A title or an ending that stands alone is short, and so less dense than the path; several paragraphs
+    are judged by their density.
+    """
     if not node.chars or node.link_chars >= LINKED * node.chars:
         return False
-    stack = [node]
+    parts, title, stack = 0, False, [node]
     while stack:
         item = stack.pop()
         if isinstance(item, str):
             if item.strip():
                 return False
-        elif not item.dropped and not item.marked and item.tag not in PROSE:
+        elif item.dropped or item.marked:
+            continue
+        elif item.hinted:
+            return False
+        elif item.tag in PROSE:
+            parts, title = parts + (item.chars > 0), title or item.tag == "h1"
+        else:
             stack += item.items
-    return True
+    return parts == 1 or title
 
 
 def _content(root: Node) -> set[int]:
@@ -201,7 +225,7 @@ def _content(root: Node) -> set[int]:
         path.append(path[-1].parent)
     threshold = min(node.density for node in path)
     for node in path:
-        node.marked = False
+        node.marked = node.hinted = False
     # Lists of links are no text, but for those within an article.
     stack = [root]
     while stack:
@@ -211,7 +235,7 @@ def _content(root: Node) -> set[int]:
             stack += [x for x in node.items if isinstance(x, Node)]
     top = max((i for i, node in enumerate(path) if node.main), default=0)
     chosen = {id(path[top])}
-    # Beside the path above the chosen node, parts as dense as the path or made of paragraphs.
+    # Beside the path above the chosen node, parts as dense as the path, lone paragraphs and titles.
     for below, node in zip(path[top:], path[top + 1 :]):
         for item in node.items:
             if item is below:
@@ -221,7 +245,7 @@ def _content(root: Node) -> set[int]:
                 if n and composite(n, 0, 0, 0, root.link_chars / max(root.chars, 1)) >= threshold:
                     chosen.add(id(item))
             elif not item.dropped and not item.marked:
-                if _prose(item):
+                if _lone(item):
                     chosen.add(id(item))
                 elif item.density >= threshold:
                     own = max(_below(item), key=lambda x: x.total)
