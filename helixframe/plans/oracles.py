@@ -168,4 +168,5 @@ ORACLES = {
       SELECT l_suppkey, rank, accession, description, score, 97::BIGINT AS identity FROM r WHERE rank <= 10""",
     "event_windows_stream": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL",
     "read_prefix_stream": f"SELECT role, substr(seq, 1, 20) AS prefix, count(*) AS n FROM (SELECT role, {_mapped('text')} AS seq FROM conversations) WHERE length(seq) >= 20 GROUP BY ALL",
+    "kmer_bounded_stream": f"WITH turns AS MATERIALIZED (SELECT {_mapped('text')} AS seq FROM conversations) SELECT kmer, count(*) AS cnt, count(*) AS upper FROM ({_kmers('turns', 8, 'seq')}) GROUP BY kmer",
 }

@@ -11,9 +11,9 @@ from ..functions import gc_content, header_coverage, header_length, kmers, leadi
 from ..operators import circularity, coding, fold, graph, nullmodel, quality, ranking
 from ..operators import kmers as kmer_ops
 from ..sources import read_blast_report
-from ..streaming import drain, prefix_profile_stream, tumbling_counts
+from ..streaming import bounded_kmer_counts, drain, held_counts, prefix_profile_stream, tumbling_counts
 from . import pipelines
-from .views import adapter_contigs, contigs, mapped, planted, reads, reference, table
+from .views import adapter_contigs, contigs, mapped, planted, reads, reference, streamed, table
 
 
 def scaled(value: Column, digits: int) -> Column:
@@ -262,19 +262,30 @@ def blast_report_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_windows_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = streamed(spark, d, "events")
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     out = drain(tumbling_counts(events, "ts", ["event_type"], "1 day"))
     return out.select(F.unix_timestamp("start").alias("start_s"), "event_type", "n")
 
 
 def read_prefix_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    turns = streamed(spark, d, "conversations")
     return drain(prefix_profile_stream(turns.select("role", mapped("text").alias("seq")), ["role"]))
 
 
+def kmer_bounded_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Bounded counts of 8-mers of a stream of turns; as there are 65,536 of them at most, none is ever pruned."""
+    turns = streamed(spark, d, "conversations")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        updates = drain(bounded_kmer_counts(turns.select(mapped("text").alias("seq")), 8, buckets=16), "update")
+    finally:
+        spark.conf.set(setting, before)
+    return held_counts(updates).drop("bucket")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -282,7 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         circularity_mismatch1, concatemer_resolve, reference_kmer_screen, ncrna_anti_join, sas_pairs, orf_islands, orf_longest, codon_chisq,
         orphan_score, bh_fdr, n50_by_source, debruijn_degree, kmer_mean_coverage, confusion_fdr_power, roc_auc, average_precision,
         decoy_breakdown, library_verdict, header_parse, dinuc_shuffle_invariants, candidate_triage, circular_cluster, structure_zscore,
-        rod_profile, unitig_assembly, greedy_assembly, signature_sweep, blast_report_hits, event_windows_stream, read_prefix_stream,
+        rod_profile, unitig_assembly, greedy_assembly, signature_sweep, blast_report_hits, event_windows_stream, read_prefix_stream, kmer_bounded_stream,
         sas_pairs_ranked, either_axis, hunt_candidates, circular_rates, contig_traits, calibrate_report,
     )
 }

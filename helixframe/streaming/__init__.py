@@ -1,3 +1,3 @@
 """Streaming forms of the read-level operators."""
 
-from .reads import drain, kmer_count_stream, prefix_profile_stream, tumbling_counts  # noqa: F401
+from .reads import bounded_kmer_counts, drain, held_counts, kmer_count_stream, prefix_profile_stream, tumbling_counts  # noqa: F401

@@ -1,13 +1,14 @@
 import random
 
+import pytest
 import simulate
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from helixframe.functions import register_functions
 from helixframe.operators import identify
-from helixframe.plans import pipelines
-from helixframe.streaming import drain, kmer_count_stream
+from helixframe.plans import pipelines, views
+from helixframe.streaming import bounded_kmer_counts, drain, held_counts, kmer_count_stream
 
 cloudpickle.register_pickle_by_value(simulate)  # workers do not see this folder
 
@@ -107,3 +108,71 @@ def test_kmer_stream_equals_batch(spark, tmp_path):
         for i in range(40):
             batch[s[i : i + 21]] = batch.get(s[i : i + 21], 0) + 1
     assert got == batch
+
+
+ROCKS = "spark.sql.streaming.stateStore.providerClass"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set(ROCKS, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(ROCKS)
+
+
+@pytest.mark.parametrize("most", [10, 60, 5000])
+def test_bounded_counts_hold_their_bounds(spark, tmp_path, rocks, most):
+    rng = random.Random(most)
+    often = [dna(30, i) for i in range(3)]
+    reads = [(rng.choice(often) if rng.random() < 0.5 else dna(rng.randint(5, 40), 100 + i),) for i in range(200)] + [(None,), ("ACGN",), ("",)]
+    spark.createDataFrame(reads, "seq string").repartition(5).write.parquet(str(tmp_path / "reads"))
+    stream = spark.readStream.schema("seq string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "reads"))
+    updates = drain(bounded_kmer_counts(stream, 11, most, buckets=2), "update")
+    truth = {}
+    for (s,) in reads:
+        for i in range(len(s or "") - 10):
+            truth[s[i : i + 11]] = truth.get(s[i : i + 11], 0) + 1
+    floors = {r.bucket: (r.floor, r.n_pruned) for r in updates.groupBy("bucket").agg(F.max("floor").alias("floor"), F.max("n_pruned").alias("n_pruned")).collect()}
+    bucket = {r.kmer: r.b for r in spark.createDataFrame([(x,) for x in truth], "kmer string").select("kmer", F.expr("pmod(xxhash64(CAST(conv(translate(kmer, 'ACGT', '0123'), 4, 10) AS LONG)), 2)").alias("b")).collect()}
+    held = {r.kmer: r for r in held_counts(updates).collect()}
+    assert updates.select("batch").distinct().count() == 5
+    for kmer, n in truth.items():
+        if kmer in held:
+            assert held[kmer].cnt <= n <= held[kmer].upper and held[kmer].bucket == bucket[kmer]
+        else:
+            assert n <= floors[bucket[kmer]][0]
+    assert set(held) <= set(truth)
+    for b in (0, 1):
+        assert sum(r.bucket == b for r in held.values()) <= most
+    if most == 5000:
+        assert {x: r.cnt for x, r in held.items()} == truth and set(floors.values()) == {(0, 0)}
+    else:
+        assert all(f > 0 and p > 0 for f, p in floors.values())
+    if most == 60:  # what is often there stays, whatever passes by
+        assert {s[i : i + 11] for s in often for i in range(20)} <= set(held)
+
+
+def test_bounded_counts_go_on_after_a_restart(spark, tmp_path, rocks):
+    source, state, rows = tmp_path / "reads", tmp_path / "state", []
+    for i in range(3):
+        reads = [(dna(40, j % 5 + i),) for j in range(20)]
+        rows += reads
+        spark.createDataFrame(reads, "seq string").coalesce(1).write.mode("append").parquet(str(source))
+        stream = bounded_kmer_counts(spark.readStream.schema("seq string").parquet(str(source)), 15, buckets=3)
+        keep = lambda out, n: out.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+        stream.writeStream.outputMode("update").option("checkpointLocation", str(state)).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+        truth = {}
+        for (s,) in rows:
+            for at in range(26):
+                truth[s[at : at + 15]] = truth.get(s[at : at + 15], 0) + 1
+        assert {r.kmer: r.cnt for r in held_counts(spark.read.parquet(f"{tmp_path}/out")).collect()} == truth
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    turns = spark.createDataFrame([(i, "a text of some words") for i in range(9)], "conv_id long, text string")
+    turns.repartition(3).write.parquet(str(tmp_path / "many" / "turns.parquet"))
+    (tmp_path / "one").mkdir()
+    turns.coalesce(1).write.parquet(str(tmp_path / "source"))
+    next((tmp_path / "source").glob("part-*.parquet")).rename(tmp_path / "one" / "turns.parquet")
+    for kind in ("one", "many"):
+        assert drain(views.streamed(spark, str(tmp_path / kind), "turns"), "append").count() == 9
