@@ -82,8 +82,13 @@ class _BoundedCounts(StatefulProcessor):
                     pruned += int(len(stay) - stay.sum())
                     kmers, counts, lost, touched = kmers[stay], counts[stay], lost[stay], touched[stay]
         self.state.update((kmers.tobytes(), counts.tobytes(), lost.tobytes(), floor, pruned))
-        last = pd.DataFrame({"kmer": kmers[touched], "cnt": counts[touched], "upper": (counts + lost)[touched]}).astype("Int64")
-        last.loc[len(last)] = [pd.NA, 0, floor]
+        size = int(touched.sum())
+        none = np.arange(size + 1) == size  # the bucket's own row
+        last = pd.DataFrame({
+            "kmer": pd.arrays.IntegerArray(np.append(kmers[touched], 0), none),
+            "cnt": np.append(counts[touched], 0),
+            "upper": np.append((counts + lost)[touched], floor),
+        })
         last.insert(0, "bucket", key[0])
         yield last.assign(floor=floor, n_pruned=pruned)
 
