@@ -6,7 +6,7 @@ repeated windows of a batch are one row. The order of packed k-mers is that of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +32,6 @@ def unpacked(kmer: Column | str, k: int) -> Column:
     return F.translate(F.lpad(F.conv(text.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
-def reverse_complements(kmers: Column | str, k: int) -> Column:
-    """An array of packed k-mers, each turned: complemented, then fields swapped pairwise, ever wider ones."""
-    swap = lambda width, mask: lambda x: F.shiftrightunsigned(x, width).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), width))
-    out = F.transform(kmers, lambda x: F.bitwise_not(x))
-    for width, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
-        out = F.transform(out, swap(width, mask))
-    return F.transform(out, lambda x: F.shiftrightunsigned(F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32)), 64 - 2 * k))
-
-
 def windows_of(codes: np.ndarray, k: int, opposite: bool = False) -> np.ndarray:
     """All windows of ``k`` codes as integers, or their reverse complements."""
     part, out, length, size = (3 - codes if opposite else codes).astype(np.int64), None, 1, 0
@@ -58,7 +49,19 @@ def windows_of(codes: np.ndarray, k: int, opposite: bool = False) -> np.ndarray:
         part, length = join(part[:n], length, part[length : length + n], length), length * 2
 
 
-def cut(column: pa.Array, k: int, opposite: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def turned_windows(codes: np.ndarray, k: int) -> np.ndarray:
+    """The reverse complements of all windows."""
+    return windows_of(codes, k, True)
+
+
+def stranded(codes: np.ndarray, k: int) -> np.ndarray:
+    """Each window as its strand-free code (the smaller of itself and its reverse complement) times four, plus
+    0 if it is that code, 1 if it is the other strand's, 2 if both are the same."""
+    own, other = windows_of(codes, k), windows_of(codes, k, True)
+    return np.minimum(own, other) << 2 | np.where(own == other, 2, own > other)
+
+
+def cut(column: pa.Array, k: int, windows: Callable[[np.ndarray, int], np.ndarray] = windows_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Slice by slice the row number and the integer of every window of A, C, G and T within the strings of a column."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
@@ -71,12 +74,13 @@ def cut(column: pa.Array, k: int, opposite: bool = False) -> Iterator[tuple[np.n
             row = np.repeat(np.arange(at, to), np.diff(ends[at : to + 1]))
             start = np.arange(len(codes) - k + 1)
             fine = (bad[k:] == bad[:-k]) & (ends[1:][row[: len(start)]] - ends[at] >= start + k)
-            yield row[: len(start)][fine], windows_of(np.minimum(codes, 3), k, opposite)[fine]
+            yield row[: len(start)][fine], windows(np.minimum(codes, 3), k)[fine]
         at = to
 
 
-def kmer_rows(rows: DataFrame, k: int, keep: list[str], seq: str = "seq", opposite: bool = False) -> DataFrame:
-    """``(keep..., kmer, times)``: windows of A, C, G and T (either case) in ``seq``, or their reverse complements.
+def kmer_rows(rows: DataFrame, k: int, keep: list[str], seq: str = "seq", windows: Callable[[np.ndarray, int], np.ndarray] = windows_of) -> DataFrame:
+    """``(keep..., kmer, times)``: windows of A, C, G and T (either case) in ``seq``, as ``windows`` makes integers of them
+    (``turned_windows``: of their reverse complements, ``stranded``: of both strands' common code).
 
     Rows of a batch with equal ``keep`` and window are one; the same window may come from several
     batches, so sum ``times``. Nulls and strings below ``k`` have no windows.
@@ -93,7 +97,7 @@ def kmer_rows(rows: DataFrame, k: int, keep: list[str], seq: str = "seq", opposi
             known: dict = {}
             own = np.array([known.setdefault(key, len(known)) for key in zip(*(c.to_pylist() for c in kept), strict=True)], np.int64) if keep else np.zeros(len(column), np.int64)
             _, first = np.unique(own, return_index=True)
-            for row, kmer in cut(column, k, opposite):
+            for row, kmer in cut(column, k, windows):
                 group = own[row]
                 order = np.lexsort((kmer, group)) if keep else np.argsort(kmer)
                 group, kmer = group[order], kmer[order]
