@@ -17,7 +17,8 @@ def look_up(records: DataFrame, key: str, seq: str, client: Callable[[], Callabl
     """``(key, service, hits, error)``: what each service says of each sequence.
 
     ``client()`` is called once in a task and gives ``search(service, seq) -> hits``. A failed search
-    leaves an error and no hits, which differs from a search that found nothing.
+    leaves an error and no hits, which differs from a search that found nothing. A null or empty sequence
+    is not sent: it has the error "no sequence".
     """
     rows = records.select(key, seq, F.explode(F.array(*map(F.lit, services))).alias("service"))
     schema = T.StructType([records.schema[key], T.StructField("service", T.StringType()), T.StructField("hits", T.ArrayType(T._parse_datatype_string(HIT))), T.StructField("error", T.StringType())])
@@ -29,6 +30,10 @@ def look_up(records: DataFrame, key: str, seq: str, client: Callable[[], Callabl
         for batch in batches:
             hits, errors = [], []
             for service, text in zip(batch.column("service").to_pylist(), batch.column(seq).to_pylist(), strict=True):
+                if not text:
+                    hits.append([])
+                    errors.append("no sequence")
+                    continue
                 try:
                     hits.append([{f: h.get(f) for f in fields} for h in search(service, text)])
                     errors.append(None)
@@ -40,6 +45,31 @@ def look_up(records: DataFrame, key: str, seq: str, client: Callable[[], Callabl
     return rows.mapInArrow(run, schema)
 
 
+def ask_families(records: DataFrame, key: str, seq: str, client: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """``(key, answer, error)``: the JSON that a family search gives for each sequence, for ``sources.family_hits``.
+
+    ``client()`` is called once in a task and gives ``answer(seq) -> text``. A failed search has an error and
+    a null answer; null and empty sequences are not sent.
+    """
+    schema = T.StructType([records.schema[key], T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = client()
+        for batch in batches:
+            texts, errors = [], []
+            for text in batch.column(1).to_pylist():
+                got, error = None, None if text else "no sequence"
+                try:
+                    got = answer(text) if text else None
+                except (OSError, ValueError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                texts.append(got)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], [key, "answer", "error"])
+
+    return records.select(key, seq).mapInArrow(run, schema)
+
+
 def verdicts(found: DataFrame, key: str) -> DataFrame:
     """``(key, verdict, best)``: family before protein before nucleotide before failure before nothing."""
     of = lambda service: F.max(F.when((F.col("service") == service) & (F.size("hits") > 0), F.element_at("hits", 1)))

@@ -109,6 +109,10 @@ ORACLES = {
       v AS (SELECT contig_id, CASE WHEN coalesce(n_kmers, 0) > 0 AND hits * 10 >= n_kmers THEN 'known' WHEN unit IS NULL AND NOT has_sas THEN 'not circular or paired' WHEN NOT qualifies THEN 'size' ELSE 'candidate' END AS verdict,
         floor(coalesce(hits / n_kmers, 0) * 1e6 + 0.5)::BIGINT AS known_e6 FROM q LEFT JOIN h USING (contig_id))
       SELECT contig_id, verdict, known_e6, longest_orf_nt, orphan_e6, verdict = 'candidate' AS shortlisted FROM v LEFT JOIN o USING (contig_id)""",
+    "cluster_labels": f"""WITH {CONTIGS}, m AS (SELECT contig_id AS id, min(contig_id) OVER (PARTITION BY substr(seq, 1, 12)) AS cluster_id FROM contigs),
+      l AS (SELECT doc_id AS id, quality = 1 AS t, source, CASE toxic WHEN 1 THEN 'toxic' WHEN 0 THEN 'plain' END AS kind FROM documents JOIN labels USING (doc_id))
+      SELECT cluster_id, count(*) AS n_members, coalesce(bool_or(t), false) AS is_true_positive, count(DISTINCT CASE WHEN t THEN source END) AS n_elements, max(CASE WHEN id = cluster_id THEN kind END) AS kind
+      FROM m LEFT JOIN l USING (id) GROUP BY cluster_id""",
     "circular_rates": f"""WITH {CONTIGS}, planted AS (SELECT contig_id, source AS kind, seq FROM contigs), {CIRCULAR}
       SELECT kind AS source, count(*) AS n_contigs, count(unit) AS n_circular, floor(count(unit) / count(*) * 1e9 + 0.5)::BIGINT AS rate_e9 FROM units GROUP BY ROLLUP (kind)""",
     "contig_traits": f"""WITH {CONTIGS}, planted AS (SELECT contig_id, 0 AS kind, seq FROM contigs), {CIRCULAR}, {ORFS}, {CHISQ},

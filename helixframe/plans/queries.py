@@ -124,6 +124,15 @@ def calibrate_report(spark: SparkSession, d: str) -> DataFrame:
     return both.select("positives", "negatives", scaled(F.col("roc_auc"), 9).alias("auc_e9"), scaled(F.col("average_precision"), 9).alias("ap_e9"), "tp", "fp", "fn", "tn", "n_kinds", "false_called")
 
 
+def cluster_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of clusters of contigs that begin with the same 12 letters, each named by its first contig."""
+    rows = contigs(spark, d).select(F.col("contig_id").alias("id"), F.substring("seq", 1, 12).alias("start"))
+    members = rows.join(rows.groupBy("start").agg(F.min("id").alias("cluster_id")), "start")
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "plain")
+    labels = _scored(spark, d).select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("is_true_positive"), F.col("source").alias("element_id"), kind.alias("kind"))
+    return pipelines.cluster_truth(members, labels)
+
+
 def orf_islands(spark: SparkSession, d: str) -> DataFrame:
     return coding.orf_islands(contigs(spark, d)).withColumns({c: F.col(c).cast("long") for c in ("start", "stop", "orf_nt")})
 
@@ -294,6 +303,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         orphan_score, bh_fdr, n50_by_source, debruijn_degree, kmer_mean_coverage, confusion_fdr_power, roc_auc, average_precision,
         decoy_breakdown, library_verdict, header_parse, dinuc_shuffle_invariants, candidate_triage, circular_cluster, structure_zscore,
         rod_profile, unitig_assembly, greedy_assembly, signature_sweep, blast_report_hits, event_windows_stream, read_prefix_stream, kmer_bounded_stream,
-        sas_pairs_ranked, either_axis, hunt_candidates, circular_rates, contig_traits, calibrate_report,
+        sas_pairs_ranked, either_axis, hunt_candidates, circular_rates, contig_traits, calibrate_report, cluster_labels,
     )
 }

@@ -20,4 +20,4 @@ from .sequence_files import (  # noqa: F401
     write_labels,
     write_report,
 )
-from .services import QueuedSearch, family_hits, http, job_id  # noqa: F401
+from .services import BatchSearch, QueuedSearch, family_hits, http, job_id, upload  # noqa: F401

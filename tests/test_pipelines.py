@@ -176,3 +176,11 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
     next((tmp_path / "source").glob("part-*.parquet")).rename(tmp_path / "one" / "turns.parquet")
     for kind in ("one", "many"):
         assert drain(views.streamed(spark, str(tmp_path / kind), "turns"), "append").count() == 9
+
+
+def test_labels_of_clusters(spark):
+    members = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("e", "e"), ("f", "f")], "cluster_id string, id string")
+    labels = spark.createDataFrame([("a", False, None, "decoy"), ("b", True, "P1", "rod"), ("c", True, "P2", "rod"), ("d", False, "P1", "plain"), ("f", None, None, None)], "id string, is_true_positive boolean, element_id string, kind string")
+    got = {r[0]: tuple(r)[1:] for r in pipelines.cluster_truth(members, labels).collect()}
+    assert got == {"a": (3, True, 2, "decoy"), "d": (1, False, 0, "plain"), "e": (1, False, 0, None), "f": (1, False, 0, None)}
+    assert pipelines.cluster_truth(members.where("false"), labels).count() == 0

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import reports
-from helixframe.operators import graph, kmers, ranking
+from helixframe.operators import graph, identify, kmers, ranking
 from helixframe.plans import pipelines
-from helixframe.sources import QueuedSearch, family_hits, job_id, junction_evidence, read_accessions, read_alignments, read_fastq, read_reference, with_metadata, write_labels
+from helixframe.sources import BatchSearch, QueuedSearch, family_hits, job_id, junction_evidence, read_accessions, read_alignments, read_fastq, read_reference, upload, with_metadata, write_labels
 
 
 def test_queued_search_polls_retries_and_fails():
@@ -36,6 +36,56 @@ def test_queued_search_polls_retries_and_fails():
     assert job_id("a RID = X9 ") == "X9" and job_id("") is None
 
 
+def test_batch_search_waits_for_its_result():
+    looks, slept = [], []
+
+    def send(url, data):
+        if data is not None:
+            return json.dumps({"jobId": "j 1"} if "ACGT" in data["sequence_file"] else {})
+        looks.append(url)
+        if len(looks) == 1:
+            raise OSError("busy")
+        return ["", "not json", '{"status": "RUNNING"}', '{"numHits": 0, "hits": {}}'][min(len(looks) - 1, 3)]
+
+    search = BatchSearch("s", "r", send, sleep=slept.append)
+    assert json.loads(search.answer("ACGT"))["numHits"] == 0 and slept == [5.0] * 4 and set(looks) == {"r/j%201"}
+    with pytest.raises(ValueError, match="no job"):
+        search.answer("G")
+    with pytest.raises(TimeoutError):
+        BatchSearch("s", "r", lambda url, data: '{"jobId": 1}', most=20.0, sleep=slept.append).answer("A")
+
+
+def test_families_are_asked_over_http(spark):
+    class Stand(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            fine = self.headers["Content-Type"].startswith("multipart/form-data") and 'name="sequence_file"' in body
+            self.reply({"jobId": body.split(">query\n")[1].split()[0]} if fine else {})
+
+        def do_GET(self):
+            seq = self.path.rpartition("/")[2]
+            self.reply({"numHits": 1, "hits": {f"RF{len(seq)}": [{"score": 5}]}} if seq != "TT" else {})
+
+        def reply(self, answer):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Stand)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        records = spark.createDataFrame([(1, "ACG"), (2, "TT"), (3, None), (4, ""), (5, "ACGTA")], "id int, seq string")
+        asked = identify.ask_families(records, "id", "seq", lambda: BatchSearch(f"{base}/submit", f"{base}/result", upload("me"), every=0.01, most=0.03).answer).cache()
+        assert {r.id: r.error and r.error.split(":")[0] for r in asked.collect()} == {1: None, 2: "TimeoutError", 3: "no sequence", 4: "no sequence", 5: None}
+        assert {(r.id, r.family) for r in family_hits(asked, "id", "answer").collect()} == {(1, "RF3"), (5, "RF5")}
+    finally:
+        server.shutdown()
+
+
 def test_family_hits_of_maps_and_lists(spark):
     answers = [(1, {"numHits": 3, "hits": {"RF1": [{"score": 1}, {"score": 2}], "RF2": {"score": 3}}}), (2, {"numHits": 1, "hits": [{"id": "RF3", "score": 4}]}), (3, {"numHits": 0, "hits": {}}), (4, {"numHits": 0})]
     df = spark.createDataFrame([(i, json.dumps(a)) for i, a in answers] + [(5, None)], "id int, answer string")
