@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 import pytest
-from helixframe.functions.packed import BASES, FILTER_BITS, code_filter, code_rows, oriented, run_codes, run_rows, scattered, windows_of
+from helixframe.functions.packed import BASES, FILTER_BITS, code_filter, code_rows, end_rows, oriented, run_codes, run_rows, scattered, windows_of
+from helixframe.operators import kmers
 
 
 def dna(n, seed):
@@ -51,3 +52,22 @@ def test_runs_hold_the_distinct_windows_of_a_row_in_fewer_rows(spark, k):
     assert {r.id: r.n for r in rows} == {i: sum(w[0] == i for w in want) for i in {r.id for r in rows}}
     at = scattered(np.array(sorted(asked), np.int64), FILTER_BITS)
     assert (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all()
+
+
+@pytest.mark.parametrize("k", [2, 3, 12, 21, 30, 31])
+def test_degrees_by_buckets_of_ends_are_those_of_the_counted_graph(spark, k):
+    seqs = [dna(700, 1) + "N" + dna(300, 2), dna(700, 1)[200:650] + dna(60, 4), opposite(dna(700, 1)), dna(40, 3) * 5 + "ATAT" * 9, "a" * 60, "ACG", "", None]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    for least in (1, 2):
+        want = kmers.debruijn_degrees(kmers.count_kmers(df, k, least, as_text=False), k)
+        got = kmers.own_degrees(df, k, least)
+        assert got.columns == ["kmer", "cnt", "n_out", "n_in"]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_degrees_shuffle_runs_and_not_windows(spark):
+    df = spark.createDataFrame([(dna(20_000, 5),)], "seq string")
+    runs = end_rows(df, 21)
+    assert runs.count() < 19_980 / 3
+    plan = kmers.own_degrees(df, 21)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # runs by bucket, then what is known of a k-mer
