@@ -71,3 +71,23 @@ def test_degrees_shuffle_runs_and_not_windows(spark):
     assert runs.count() < 19_980 / 3
     plan = kmers.own_degrees(df, 21)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # runs by bucket, then what is known of a k-mer
+
+
+@pytest.mark.parametrize("counted", [50, 4_000_000])
+def test_coverage_by_runs_is_that_of_the_counted_windows(spark, monkeypatch, counted):
+    """Also where a bucket is larger than what is counted at once."""
+    from helixframe.functions import packed
+
+    monkeypatch.setattr(packed, "COUNTED", counted)
+    seqs = [dna(700, 1) + "N" + dna(300, 2), dna(700, 1)[200:650] + dna(60, 4), "A" * 900, "a" * 60, dna(40, 3) * 5, "ACG", "", None]
+    df = spark.createDataFrame([(f"c{i}", s) for i, s in enumerate(seqs)], "contig_id string, seq string")
+    for k, least in ((2, 1), (21, 2), (31, 1)):
+        want = kmers.mean_coverage(df, kmers.count_kmers(df, k, least, as_text=False), k)
+        got = kmers.own_coverage(df, k, least)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_coverage_shuffles_runs_and_not_windows(spark):
+    df = spark.createDataFrame([(1, dna(20_000, 5))], "contig_id int, seq string")
+    plan = kmers.own_coverage(df, 21)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(bucket" in plan
