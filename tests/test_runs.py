@@ -91,3 +91,15 @@ def test_coverage_shuffles_runs_and_not_windows(spark):
     df = spark.createDataFrame([(1, dna(20_000, 5))], "contig_id int, seq string")
     plan = kmers.own_coverage(df, 21)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning(bucket" in plan
+
+
+def test_degrees_count_buckets_without_a_window_over_all(spark, monkeypatch):
+    """Also where a bucket is larger than what is counted at once."""
+    from helixframe.functions import packed
+
+    monkeypatch.setattr(packed, "COUNTED", 50)
+    df = spark.createDataFrame([(s,) for s in (dna(700, 1), dna(700, 1)[200:650] + dna(60, 4), "A" * 900, "ATAT" * 90)], "seq string")
+    got = kmers.own_degrees(df, 21, 2)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    want = kmers.debruijn_degrees(kmers.count_kmers(df, 21, 2, as_text=False), 21)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
