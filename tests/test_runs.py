@@ -103,3 +103,27 @@ def test_degrees_count_buckets_without_a_window_over_all(spark, monkeypatch):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     want = kmers.debruijn_degrees(kmers.count_kmers(df, 21, 2, as_text=False), 21)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_lists_of_holders_are_those_of_codes_met_one_by_one(spark, monkeypatch):
+    """Some buckets at a time, also where one is larger than that, and group by group."""
+    from helixframe.functions import packed
+
+    seqs = [dna(300, 1), opposite(dna(300, 1)[40:260]), dna(300, 1)[100:] + dna(50, 2), "A" * 90 + "T" * 90, "ACGT" * 30]
+    df = spark.createDataFrame([(i, s, g) for i, s in enumerate(seqs) for g in ("x", None)], "cls long, s string, by string")
+    for counted, by, common in ((40, [], 3), (4_000_000, [], 50), (40, ["by"], 2)):
+        monkeypatch.setattr(packed, "COUNTED", counted)
+        runs = run_rows(df if by else df.where("by = 'x'"), 21, ["cls", *by], "s")
+        holders = {}
+        for r in run_codes(runs, 21).collect():
+            holders.setdefault((r["by"] if by else None, r.code), []).append((r.cls, r.side))
+        lists = {}
+        for (group, code), held in holders.items():
+            if {s for _, s in held} & {2} or len({s for _, s in held}) > 1:
+                lists.setdefault((group, tuple(sorted(held)), code if len(held) > common else None), []).append(code)
+        want = sorted((str(g), len(held), str(often), len(codes), min(codes)) for (g, held, often), codes in lists.items())
+        parts = packed.counted_lists(runs.repartition(*by, "bucket").sortWithinPartitions("bucket"), 21, by, common).collect()
+        got = {}
+        for r in parts:
+            got.setdefault((r["by"] if by else None, r.c, r.x0, r.x1, r.often), []).append((r.w, r.code))
+        assert sorted((str(g), c, str(often), sum(w for w, _ in x), min(code for _, code in x)) for (g, c, _, _, often), x in got.items()) == want
