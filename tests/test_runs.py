@@ -127,3 +127,15 @@ def test_lists_of_holders_are_those_of_codes_met_one_by_one(spark, monkeypatch):
         for r in parts:
             got.setdefault((r["by"] if by else None, r.c, r.x0, r.x1, r.often), []).append((r.w, r.code))
         assert sorted((str(g), c, str(often), sum(w for w, _ in x), min(code for _, code in x)) for (g, c, _, _, often), x in got.items()) == want
+
+
+def test_frequent_sets_are_sent_by_blocks_and_not_by_pairs(spark, monkeypatch):
+    """Pairs that share frequent k-mers only, whose sets lie in many blocks."""
+    base = dna(400, 11)
+    seqs = [opposite(s) if i % 2 else s for i, s in enumerate(base[: 200 + 9 * i] + dna(100, 20 + i) for i in range(12))]
+    df = spark.createDataFrame(list(enumerate(seqs)), "contig_id long, seq string")
+    want = sorted(map(tuple, kmers.antisense_pairs(df).collect()))
+    monkeypatch.setattr(kmers, "SETS", 2)
+    out = kmers.antisense_pairs(df, common=2)
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect())) == want and len(want) == 36
